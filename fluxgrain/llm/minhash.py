@@ -4,8 +4,9 @@ Each permutation gives two signature values, the least and the greatest image of
 as many hash evaluations fill the same bands.  Documents with equal sets are one class first;
 representatives that share a band are candidates.  Every candidate is compared with the most
 central member of its bucket; where a bucket still holds unconnected members after that, its
-members are compared block by block until no pair across components is left untested.  All
-comparisons are exact, on whole shingle sets.
+members meet block by block, by a parity word of each set that bounds the symmetric difference
+from below, and every pair across components that it cannot rule out is compared as well.  All
+links are confirmed exactly, on whole shingle sets.
 
 Words are runs of bytes other than ASCII white space, A-Z lowered.  A set holds the distinct
 k-word shingles, the whole sequence if the text is shorter, and nothing without words.
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, mix64, prepare, seeds, utf8_values
@@ -31,8 +32,9 @@ from .graph import connected_components
 
 #: Chance at most that two documents right at the threshold share no band; signature values.
 MISS, VALUES = 1e-6, 128
-#: Shingles handled at a time, words kept by a worker, members of a block in a large bucket.
-CHUNK, KEPT, BLOCK = 400_000, 500_000, 96
+#: Shingles handled at a time, words kept by a worker, members of a block in a large bucket, bits
+#: of a parity word.
+CHUNK, KEPT, BLOCK, BITS = 400_000, 500_000, 2048, 512
 _U = np.uint64
 
 
@@ -95,11 +97,17 @@ def signatures(sets: list[np.ndarray], rows: int, count: int) -> np.ndarray:
     return keys
 
 
+def parity(s: np.ndarray) -> bytes:
+    """For each slot, whether oddly many elements fall into it: equal elements of two sets cancel,
+    so the bits in which two words differ are at most the symmetric difference."""
+    return np.packbits(np.bincount((s & _U(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, parity binary"
 
 
 def signature_table(docs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -110,7 +118,7 @@ def signature_table(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         from fluxgrain.llm import minhash  # the worker's own module keeps its words between tasks
 
         for batch in batches:
-            sizes, digests, keys, group, held = [], [], [], [], 0
+            sizes, digests, keys, words, group, held = [], [], [], [], [], 0
 
             def flush():
                 nonlocal held
@@ -118,6 +126,7 @@ def signature_table(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 got = iter(minhash.signatures(full, rows, count)) if full else iter(())
                 for s in group:
                     sizes.append(len(s))
+                    words.append(minhash.parity(s))
                     with np.errstate(over="ignore"):
                         digests.append((int(np.add.reduce(s)) if len(s) else 0, int(np.add.reduce(minhash.mix64(s ^ _U(0x5851F42D4C957F2D)))) if len(s) else 0))
                     keys.append(minhash._as_long(next(got)) if len(s) else None)
@@ -132,8 +141,8 @@ def signature_table(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             flush()
             d = np.array(digests, _U).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(_as_long(d[:, 0].copy())), pa.array(_as_long(d[:, 1].copy())), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(_as_long(d[:, 0].copy())), pa.array(_as_long(d[:, 1].copy())), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity"],
             )
 
     return docs.mapInArrow(run, SIGNATURE)
@@ -175,41 +184,27 @@ def _verify(pairs: DataFrame, k: int, share: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _block_links(k: int, share: int):
-    """Links between different components within two blocks of a bucket: a spanning set of them."""
+def _confirm(pairs: DataFrame, blobs: DataFrame, k: int, share: int) -> DataFrame:
+    left, right = blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b"))
+    return _verify(pairs.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b"), k, share)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        from fluxgrain.llm import minhash
 
-        unzip = zstandard.ZstdDecompressor().decompress
-        part = part.drop_duplicates("doc")
-        docs, comp, side = part["doc"].tolist(), part["comp"].tolist(), part["side"].tolist()
-        sets = [minhash.shingles(unzip(b), k) for b in part["blob"]]
-        sizes = np.array([len(s) for s in sets])
-        shared, at = np.unique(np.concatenate(sets), return_inverse=True)
-        place = np.bincount(at, minlength=len(shared))
-        column = np.cumsum(place > 1) - 1
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        use = place[at] > 1
-        inter = np.zeros((len(sets), len(sets)), np.int64)
-        for lo in range(0, int((place > 1).sum()), 20_000):
-            here = use & (column[at] >= lo) & (column[at] < lo + 20_000)
-            m = np.zeros((len(sets), min(20_000, int((place > 1).sum()) - lo)), np.float32)
-            m[owner[here], column[at][here] - lo] = 1
-            inter += np.rint(m @ m.T).astype(np.int64)
-        near = (100 * inter >= share * (sizes[:, None] + sizes[None, :] - inter)) & (sizes[:, None] > 0)
-        parent = {c: c for c in comp}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
+def _block_pairs(share: int):
+    """Pairs across components, within two blocks of a bucket, that parity doesn't rule out.
+
+    Sets of a and b elements are similar enough with a symmetric difference of at most
+    (a + b) * (100 - share) / (100 + share).
+    """
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("doc").sort_values("doc")
+        docs, comp, size = (part[c].to_numpy() for c in ("doc", "comp", "n_shingles"))
+        words = np.frombuffer(b"".join(part["parity"]), _U).reshape(len(part), -1)
         out = []
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
-            if (a := root(comp[i])) != (b := root(comp[j])):
-                parent[a] = b
-                out.append((docs[i], docs[j]))
+        for i in range(len(docs) - 1):
+            apart = np.bitwise_count(words[i] ^ words[i + 1 :]).sum(1, dtype=np.int64)
+            near = (apart * (100 + share) <= (size[i] + size[i + 1 :]) * (100 - share)) & (comp[i] != comp[i + 1 :])
+            out += [(int(d), int(docs[i])) for d in docs[i + 1 :][near]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -228,23 +223,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     member = reps.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value")).select("doc", F.xxhash64("band", "value").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > 1)
     shared = materialise(member.join(sizes, "key"), "buckets")
-    degree = shared.groupBy("doc").agg(F.sum("many").alias("degree"))
-    ranked = shared.join(degree, "doc")
+    ranked = shared.withColumn("degree", F.sum("many").over(Window.partitionBy("doc")))  # a row per band and document
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("top"), F.min("doc").alias("least"))
     star = shared.join(centre, "key").select("doc", F.explode(F.array_distinct(F.array(-F.col("top.minus"), F.col("least")))).alias("other"))
     star = materialise(star.filter("doc <> other").select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct(), "pairs")
     wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
     blobs = materialise(packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    left, right = blobs.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), blobs.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b"))
-    links = materialise(_verify(star.join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b"), k, share), "links")
+    links = materialise(_confirm(star, blobs, k, share), "links")
     parts = connected_components(links)
     held = shared.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
     open_ = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("print"), F.count("*").alias("n"))
     open_ = open_.filter("low < high").groupBy("print", "n").agg(F.min("key").alias("key"))  # buckets of the same members count once
     blocks = held.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     blocks = blocks.withColumn("i", F.pmod(F.hash("doc"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("key", "doc", "comp", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("side"))
-    more = blocks.join(blobs.withColumnRenamed("doc_id", "doc"), "doc").groupBy("key", "x", "y").applyInPandas(_block_links(k, share), "a long, b long")
+    blocks = blocks.select("key", "doc", "comp", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))
+    words = reps.select(F.col("doc_id").alias("doc"), "n_shingles", "parity").dropDuplicates(["doc"])
+    rest = blocks.join(words, "doc").groupBy("key", "x", "y").applyInPandas(_block_pairs(share), "a long, b long").distinct()
+    more = _confirm(materialise(rest, "pairs"), blobs, k, share)
     parts = connected_components(links.unionByName(more))
     final = of.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     final = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
