@@ -26,6 +26,8 @@ from .common import materialise
 
 #: Slots of the frequency table; classes are quarter powers of two.
 SLOTS = 1 << 17
+#: Documents with lines to verify: up to so many places are broadcast, more are joined by a shuffle.
+BROADCAST_DOCS = 500_000
 #: Bits of a token's hash that follow its class in the order.
 _BITS = 56
 
@@ -70,37 +72,60 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = lines.withColumn("ordered", _ordered(table)).withColumn("n", F.size("ordered"))
     prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5.0)).cast("int") + 1)
     parity = F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = keyed.select("doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"), F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b"))
-    sets = keyed.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    sets = materialise(sets.select("set_a", "set_b", F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n", "prefix", "parity"), "linesets")
+    ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
+    # 32 bits of a token are enough to meet by: what meets is verified on the words themselves
+    short = F.transform(prefix, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    full = materialise(keyed.select("doc", "line", "n", short.alias("prefix"), parity.alias("parity"), *ids), "lines")
+    sets = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    sets = materialise(sets.select(F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n", "prefix", "parity"), "linesets")
     posting = sets.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "token"))
     a = posting.select(*(F.col(c).alias(f"a_{c}") for c in posting.columns))
     b = posting.select(*(F.col(c).alias(f"b_{c}") for c in posting.columns))
     need = _least_overlap(F.col("a_n"), F.col("b_n"))
-    short = F.col("b_n") - F.ceil(F.col("b_n") * 8 / F.lit(9.0)) + 1  # places that the shorter set has to offer
+    offers = F.col("b_n") - F.ceil(F.col("b_n") * 8 / F.lit(9.0)) + 1  # places that the shorter set has to offer
+    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
     close = (
         (F.col("a_token") == F.col("b_token"))
         & ((F.col("b_n") < F.col("a_n")) | (F.col("b_n") == F.col("a_n")) & ((F.col("b_doc") < F.col("a_doc")) | (F.col("b_doc") == F.col("a_doc")) & (F.col("b_line") < F.col("a_line"))))
         & (F.col("b_n") * 5 >= F.col("a_n") * 4)
-        & (F.col("b_i") + (F.col("a_n") - F.col("a_n")) < short)
+        & (F.col("b_i") + (F.col("a_n") - F.col("a_n")) < offers)
         & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need)
-        & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= F.col("a_n") + F.col("b_n") - 2 * need)
+        & (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
     )
     earlier = (F.col("a_doc") < F.col("b_doc")) | (F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line"))
     pick = lambda x, y: (F.when(earlier, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}")).alias(y))
     drop = lambda x, y: (F.when(earlier, F.col(f"b_{x}")).otherwise(F.col(f"a_{x}")).alias(y))
-    pairs = a.join(b, close).select(pick("doc", "x_doc"), pick("line", "x_line"), drop("doc", "y_doc"), drop("line", "y_line")).distinct()
+    pairs = a.join(b, close).select(pick("doc", "x_doc"), pick("line", "x_line"), drop("doc", "y_doc"), drop("line", "y_line"), apart.alias("apart")).distinct()
     pairs = materialise(pairs, "linepairs")
+    some = materialise(_fetch(docs, pairs), "linetexts")
+    # a line goes for one match, so its likeliest one is tried first, and all others where that fails
+    first = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("apart", "x_doc", "x_line")).alias("x"))
+    sure = materialise(_verified(first.select("x.x_doc", "x.x_line", "y_doc", "y_line"), some), "lineshits")
+    more = _verified(pairs.join(sure.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line")), ["y_doc", "y_line"], "left_anti"), some)
+    gone = materialise(sure.union(more).distinct(), "linesgone")
+    rows = full.select("doc", "line", "n", "set_a", "set_b")
+    marked = rows.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place")).select("set_a", "set_b", "place.doc", "place.line")
+    marked = marked.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
+    marked = marked.select("set_a", "set_b", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return rows.join(marked, ["set_a", "set_b"]), gone
+
+
+def _fetch(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, line and words of each line in a pair."""
     wanted = pairs.select(F.col("x_doc").alias("of"), F.col("x_line").alias("at")).union(pairs.select("y_doc", "y_line")).groupBy("of").agg(F.collect_set("at").alias("wanted"))
+    if wanted.count() <= BROADCAST_DOCS:
+        wanted = F.broadcast(wanted)
     some = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text")).join(wanted, F.col("doc") == F.col("of"))
-    some = some.select("doc", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc", "line", F.get("all", F.col("line")).alias("words")).dropDuplicates(["doc", "line"])
+    some = some.select("doc", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc", "line", F.get("all", F.col("line")).alias("words"))
+    return some.filter("words is not null").dropDuplicates(["doc", "line"])
+
+
+def _verified(pairs: DataFrame, some: DataFrame) -> DataFrame:
+    """doc and line of the later lines of pairs whose token sets are similar enough."""
     x, y = some.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x")), some.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"]).withColumn("s", _hashes(F.col("x"))).withColumn("t", _hashes(F.col("y")))
     sure = both.filter(F.size(F.array_intersect("s", "t")) * 9 >= (F.size("s") + F.size("t")) * 4)
-    gone = sure.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct()
-    marked = sets.select("set_a", "set_b", "doc", "line").join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    marked = marked.select("set_a", "set_b", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return keyed.select("doc", "line", "n", "set_a", "set_b").join(marked, ["set_a", "set_b"]), gone
+    return sure.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct()
 
 
 def line_report(docs: DataFrame) -> DataFrame:
