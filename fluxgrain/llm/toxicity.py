@@ -144,37 +144,35 @@ class Model:
         if labels.all() or not labels.any():
             self.logit[0] = 50.0 if labels.any() else -50.0
             return self
-        words = [_TOKEN.findall(t) for t in texts]
+        ids: dict[str, int] = {}
+        streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in _TOKEN.findall(t)), np.int32) for t in texts]
+        of_word = [features(w) for w in ids]
         half = np.arange(len(texts)) % 3 < 2  # trains the chain; the rest fits the document score
         half[0] = half[-1] = True
         if labels[half].all() or not labels[half].any() or labels[~half].all() or not labels[~half].any():
             half[:] = True
         seen: dict[str, list[int]] = {}
-        of_word: dict[str, list[str]] = {}
         for k in np.nonzero(half)[0].tolist():
-            mine: set[str] = set()
-            for w in set(words[k]):
-                if w not in of_word:
-                    of_word[w] = features(w)
-                mine.update(of_word[w])
-            for f in mine:
+            for f in {f for w in np.unique(streams[k]).tolist() for f in of_word[w]}:
                 seen.setdefault(f, [0, 0])[int(labels[k])] += 1
         many = [max(1, int((half & ~labels).sum())), max(1, int((half & labels).sum()))]
         support = max(2, min(SUPPORT, many[1] // 20))
         marks = {f for f, (c, t) in seen.items() if t >= support and c / many[0] <= CLEAN_SHARE * t / many[1]}
         index = {f: i for i, f in enumerate(sorted(f for f, (c, t) in seen.items() if c + t >= support))}
-        ids, rows, cols, flat, starts, y = {}, [], [], [], [], []
-        for k in np.nonzero(half)[0].tolist():
-            for j, w in enumerate(words[k]):
-                if w not in ids:
-                    ids[w] = len(ids)
-                    got = [index[f] for f in of_word[w] if f in index]
-                    rows += [ids[w]] * len(got)
-                    cols += got
-                flat.append(ids[w])
-                starts.append(j == 0)
-                y.append(bool(labels[k]) and any(f in marks for f in of_word[w]))
-        self._train(np.array(flat), np.array(starts), np.array(y), np.array(rows, int), np.array(cols, int), len(ids), sorted(index), ROUNDS)
+        marked = np.array([any(f in marks for f in fs) for fs in of_word], bool)
+        links = [(w, index[f]) for w, fs in enumerate(of_word) for f in fs if f in index]
+        rows, cols = np.array(links, np.int64).reshape(-1, 2).T
+        chosen = [k for k in np.nonzero(half)[0].tolist() if len(streams[k])]
+        if not chosen:  # no words at all: the share of toxic documents is all there is to say
+            self.logit[0] = math.log(max(labels.mean(), 1e-9) / max((1 - labels.mean()) * ratio, 1e-9))
+            return self
+        flat = np.concatenate([streams[k] for k in chosen])
+        starts = np.zeros(len(flat), bool)
+        starts[np.cumsum([0, *(len(streams[k]) for k in chosen[:-1])])] = True
+        y = marked[flat] & np.repeat(labels[chosen], [len(streams[k]) for k in chosen])
+        vocabulary = len(ids)
+        del streams, ids, of_word, seen, links
+        self._train(flat, starts, y, rows, cols, vocabulary, sorted(index), ROUNDS)
         rest = np.nonzero(~half if not half.all() else half)[0]
         x = self.summaries([texts[k].encode() for k in rest])[0]
         self._logistic(x, labels[rest], np.where(labels[rest], 1.0, ratio))
