@@ -53,8 +53,9 @@ def rolloff(psd: Column, power: Column, share: float, n: int, fs: float) -> Colu
 
 
 def dominant(psd: Column, power: Column) -> Column:
-    """struct(k, power) of the strongest bin but the first; the lowest of equals."""
-    tagged = F.transform(F.slice(psd, 2, 1 << 30), lambda p, k: F.struct(p.alias("power"), (-(k + 1)).alias("minus")))
+    """struct(k, power) of the strongest bin but the first; the lowest of equals (to 1e-9, so
+    that the order of additions doesn't decide)."""
+    tagged = F.transform(F.slice(psd, 2, 1 << 30), lambda p, k: F.struct(F.round(p, 9).alias("about"), (-(k + 1)).alias("minus"), p.alias("power")))
     top = F.array_max(tagged)
     return F.struct(F.when(power <= EPSILON, 0).otherwise(-top["minus"]).alias("k"), _guard(power, top["power"]).alias("power"))
 

@@ -112,7 +112,7 @@ def _desc_sql(size: int, fs: float, psd: str = "psd", name: str = "d") -> str:
 {name}_m AS (SELECT win, channel, avg(x) AS dc_component FROM {psd}_l GROUP BY win, channel),
 {name}_r AS (SELECT win, channel, sum(-greatest(p / total, 1e-10) * ln(greatest(p / total, 1e-10))) AS entropy, any_value(centre) AS centroid,
   exp(avg(ln(greatest(p, 1e-10)))) / avg(greatest(p, 1e-10)) AS flatness, sqrt(sum(p * pow({f} - centre, 2)) / any_value(total)) AS bandwidth,
-  arg_max({f}, struct_pack(a := p, b := -k)) FILTER (k >= 1) AS dominant_frequency, max(p) FILTER (k >= 1) AS dominant_amplitude, any_value(total) AS total_power,
+  arg_max({f}, struct_pack(a := round(p, 9), b := -k)) FILTER (k >= 1) AS dominant_frequency, max(p) FILTER (k >= 1) AS dominant_amplitude, any_value(total) AS total_power,
   coalesce(min({f}) FILTER (run / total >= 0.85), {ks - 1} * {fs!r} / {size}) AS rolloff_85, coalesce(min({f}) FILTER (run / total >= 0.95), {ks - 1} * {fs!r} / {size}) AS rolloff_95, {bands}
   FROM {name}_c GROUP BY win, channel),
 {name} AS (SELECT r.*, dc_component FROM {name}_r r JOIN {name}_m m ON r.win = m.win AND r.channel = m.channel)"""
