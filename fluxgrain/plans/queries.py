@@ -583,9 +583,9 @@ def threshold_youden(spark, sf):
     return metrics.threshold(_scored(spark, sf), "youden_j").select("threshold", _r("value"))
 
 
-@query(f"WITH {SCORES}, q AS (SELECT day, quantile_cont(score, 0.95) AS t FROM scored GROUP BY day) SELECT s.day, t AS threshold, round(coalesce(2.0 * sum((score >= t AND y = 1)::INTEGER) / (sum((score >= t)::INTEGER) + sum(y)), 0), 6) AS value FROM scored s JOIN q ON s.day = q.day GROUP BY s.day, t")
+@query(f"WITH {SCORES}, q AS (SELECT day, quantile_cont(score, 0.95) AS t FROM scored GROUP BY day) SELECT s.day, round(t, 6) AS threshold, round(coalesce(2.0 * sum((score >= t AND y = 1)::INTEGER) / (sum((score >= t)::INTEGER) + sum(y)), 0), 6) AS value FROM scored s JOIN q ON s.day = q.day GROUP BY s.day, t")
 def threshold_percentile(spark, sf):
-    return metrics.threshold(_scored(spark, sf), "percentile", ["day"]).select("day", "threshold", _r("value"))
+    return metrics.threshold(_scored(spark, sf), "percentile", ["day"]).select("day", _r("threshold"), _r("value"))
 
 
 @query(f"""WITH {SCORES}, {_auc_sql('scored', '')}, z AS (SELECT score, p, n, lead(p) OVER (ORDER BY score DESC) AS np, lead(n) OVER (ORDER BY score DESC) AS nn, fp / tot_n AS fpr, tp / tot_p AS tpr FROM cv)
