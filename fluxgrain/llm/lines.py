@@ -59,6 +59,14 @@ def _ordered(table: bytes) -> Column:
     return F.sort_array(F.transform("tokens", lambda t: rank(t).bitwiseOR(t.bitwiseAND(F.lit((1 << _BITS) - 1)))))
 
 
+def _parity(shift: int) -> Column:
+    """Oddly filled slots of 64, of the tokens whose bit 12 is that of shift: the two words share
+    the tokens out, so their differing bits together are at most the symmetric difference."""
+    mine = lambda t: t.bitwiseAND(F.lit(1 << 12)) == F.lit((1 << 12) if shift else 0)
+    slot = lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: F.when(mine(t), a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), slot(t)))).otherwise(a))
+
+
 def _least_overlap(a: Column, b: Column) -> Column:
     """Of sets of a and b tokens: 9 * overlap >= 4 * (a + b) is a similarity of 4/5."""
     return F.ceil((a + b) * 4 / F.lit(9.0))
@@ -71,19 +79,19 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = frequency_table(lines)
     keyed = lines.withColumn("ordered", _ordered(table)).withColumn("n", F.size("ordered"))
     prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5.0)).cast("int") + 1)
-    parity = F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    parity, parity_b = _parity(0), _parity(6)
     ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
     # 32 bits of a token are enough to meet by: what meets is verified on the words themselves
     short = F.transform(prefix, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    full = materialise(keyed.select("doc", "line", "n", short.alias("prefix"), parity.alias("parity"), *ids), "lines")
-    sets = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    sets = materialise(sets.select(F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n", "prefix", "parity"), "linesets")
-    posting = sets.select("doc", "line", "n", "parity", F.posexplode("prefix").alias("i", "token"))
+    full = materialise(keyed.select("doc", "line", "n", short.alias("prefix"), parity.alias("parity"), parity_b.alias("parity_b"), *ids), "lines")
+    sets = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("parity_b").alias("parity_b"))
+    sets = materialise(sets.select(F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n", "prefix", "parity", "parity_b"), "linesets")
+    posting = sets.select("doc", "line", "n", "parity", "parity_b", F.posexplode("prefix").alias("i", "token"))
     a = posting.select(*(F.col(c).alias(f"a_{c}") for c in posting.columns))
     b = posting.select(*(F.col(c).alias(f"b_{c}") for c in posting.columns))
     need = _least_overlap(F.col("a_n"), F.col("b_n"))
     offers = F.col("b_n") - F.ceil(F.col("b_n") * 8 / F.lit(9.0)) + 1  # places that the shorter set has to offer
-    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity")))
+    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) + F.bit_count(F.col("a_parity_b").bitwiseXOR(F.col("b_parity_b")))
     close = (
         (F.col("a_token") == F.col("b_token"))
         & ((F.col("b_n") < F.col("a_n")) | (F.col("b_n") == F.col("a_n")) & ((F.col("b_doc") < F.col("a_doc")) | (F.col("b_doc") == F.col("a_doc")) & (F.col("b_line") < F.col("a_line"))))
@@ -111,19 +119,19 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _fetch(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc, line and words of each line in a pair."""
+    """doc, line and token hashes of each line in a pair."""
     wanted = pairs.select(F.col("x_doc").alias("of"), F.col("x_line").alias("at")).union(pairs.select("y_doc", "y_line")).groupBy("of").agg(F.collect_set("at").alias("wanted"))
     if wanted.count() <= BROADCAST_DOCS:
         wanted = F.broadcast(wanted)
     some = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text")).join(wanted, F.col("doc") == F.col("of"))
     some = some.select("doc", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc", "line", F.get("all", F.col("line")).alias("words"))
-    return some.filter("words is not null").dropDuplicates(["doc", "line"])
+    return some.filter("words is not null").dropDuplicates(["doc", "line"]).select("doc", "line", _hashes(F.col("words")).alias("tokens"))
 
 
 def _verified(pairs: DataFrame, some: DataFrame) -> DataFrame:
     """doc and line of the later lines of pairs whose token sets are similar enough."""
-    x, y = some.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x")), some.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y"))
-    both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"]).withColumn("s", _hashes(F.col("x"))).withColumn("t", _hashes(F.col("y")))
+    x, y = some.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("tokens").alias("s")), some.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("tokens").alias("t"))
+    both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
     sure = both.filter(F.size(F.array_intersect("s", "t")) * 9 >= (F.size("s") + F.size("t")) * 4)
     return sure.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct()
 
