@@ -34,7 +34,7 @@ from .common import mix64, partitions, prepare, utf8_values
 #: Words of the shared vocabulary at most (a model parameter); smoothing of uni- and bigrams.
 VOCABULARY, DELTA, STRENGTH = 65_000, 0.5, 5.0
 #: Tokens of a chunk, and of a bucket on average; words a worker keeps.
-CHUNK_TOKENS, BUCKET_TOKENS, KEPT = 600_000, 1_500_000, 400_000
+CHUNK_TOKENS, BUCKET_TOKENS, KEPT = 600_000, 4_000_000, 400_000
 #: Target ids up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 UNKNOWN, END, START = 0, 65534, 65535
