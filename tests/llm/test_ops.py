@@ -149,6 +149,26 @@ def test_lm_scores(spark, corpus):
     assert len(p) == len(corpus)
 
 
+def test_lm_knows_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 30_000)
+    texts = [" ".join(f"w{(i * 2000 + j) if j % 4 else j % 12}" for j in range(2000)) for i in range(50)]
+    texts += texts[:3]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    p = lm.score(docs(spark, texts), labels).toPandas()
+    n1, n2, cx = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    seqs = [["<s>", *t.split(), "</s>"] for t in texts]
+    for i, q in enumerate(seqs):
+        for m in (0, 1) if i < 40 and i % 3 == 0 else (0,):
+            n1[m].update(q[1:]), n2[m].update(zip(q, q[1:])), cx[m].update(q[:-1])
+    size, n_words = [sum(c.values()) for c in n1], len(n1[0]) - 1
+    assert n_words > 70_000 and len(p) == len(texts)
+    for r in p.itertuples():
+        q = seqs[r.doc_id]
+        for m, got in ((1, r.ce_target), (0, r.ce_background)):
+            loss = [-math.log((n2[m][u, v] + 5 * (n1[m][v] + 0.5) / (size[m] + 0.5 * (n_words + 2))) / (cx[m][u] + 5)) for u, v in zip(q, q[1:])]
+            assert abs(sum(loss) / len(loss) - got) < 1e-9
+
+
 # 5
 
 
