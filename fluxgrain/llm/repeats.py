@@ -35,6 +35,8 @@ from .minhash import packed
 WIDTH, GRAM = 100, 24
 #: Bytes hashed at a time, bytes of blocks sorted at a time, different blocks of a plain bucket.
 PIECE, SORTED, BLOCKS = 2_000_000, 1_000_000, 4096
+#: Bytes that positions beside an anchor's hash can tell apart: no more are hashed at a time.
+PLACES = 1 << 24
 _U = np.uint64
 _BYTE = seeds(256, 5)
 _B = _U(0x9E3779B97F4A7C15)
@@ -71,9 +73,11 @@ def blocks_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple
     sizes = np.array([len(t) for t in texts], np.int64)
     if len(flat) < width:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
+    if len(flat) > PLACES:
+        raise ValueError(f"more than {PLACES} bytes at a time")
     h = gram_hashes(flat, gram)
     spot = _least((h >> _U(24) << _U(24)) | np.arange(len(h), dtype=_U), width - gram + 1)
-    anchor = (spot & _U((1 << 24) - 1)).astype(np.int64)
+    anchor = (spot & _U(PLACES - 1)).astype(np.int64)
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(anchor)]
     fits = np.arange(len(anchor)) + width <= (begins + sizes)[owner]
@@ -153,6 +157,9 @@ def _send_blocks(batches):
             if doc is None or len(text) < WIDTH:
                 continue
             for part in _split(doc, text):
+                if held and size + len(part[2]) > PLACES:
+                    yield from settle(held)
+                    held, size = [], 0
                 held.append(part)
                 size += len(part[2])
                 if size >= PIECE:

@@ -364,3 +364,17 @@ def test_maximal_repeats_lists_all_occurrences():
 def test_names():
     assert {re.match(r"op\d+", n)[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_blocks_of_a_long_text_behind_a_short_one():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    short, long = (rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in (1_900_000, 17_000_000))
+
+    def sent(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], ["doc", "text"])
+        made = pa.Table.from_batches(repeats._send_blocks([batch])).to_pandas()
+        return made[made["doc"] == 2].sort_values(["at", "span"]).to_numpy()
+
+    np.testing.assert_array_equal(sent([(1, short), (2, long)]), sent([(2, long)]))
