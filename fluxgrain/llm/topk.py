@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +46,13 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, hold: str) -> DataFrame:
-    """Rows in their order, packed: ids, components and the greatest length."""
+    """Rows in their order, packed: ids, components and the greatest length; name tells blocks apart."""
 
     def run(batches):
-        ids, vecs = [], []
+        ids, vecs, name = [], [], TaskContext.get().partitionId() << 32
 
         def out():
+            nonlocal name
             width = max(map(len, vecs))
             m = np.zeros((len(vecs), width), np.int64)
             for k, v in enumerate(vecs):
@@ -59,9 +61,10 @@ def _blocks(rows: DataFrame, size: int, hold: str) -> DataFrame:
             order = np.argsort(-norms, kind="stable")
             m, norms = m[order], norms[order]
             block = pa.RecordBatch.from_arrays(
-                [pa.array([int(np.array(ids)[order][0])]), pa.array([float(norms[0])]), pa.array([width], pa.int32()), pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())],
-                ["first", "longest", "width", "ids", "data"],
+                [pa.array([int(np.array(ids)[order][0])]), pa.array([float(norms[0])]), pa.array([width], pa.int32()), pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([name])],
+                ["first", "longest", "width", "ids", "data", "name"],
             )
+            name += 1
             ids.clear()
             vecs.clear()
             return block
@@ -75,7 +78,7 @@ def _blocks(rows: DataFrame, size: int, hold: str) -> DataFrame:
         if ids:
             yield out()
 
-    made = rows.mapInArrow(run, "first long, longest double, width int, ids binary, data binary")
+    made = rows.mapInArrow(run, "first long, longest double, width int, ids binary, data binary, name long")
     return made.toDF(*[f"{hold}_{c}" for c in made.columns])
 
 
@@ -146,10 +149,10 @@ def _search(k: int):
     def run(batches):
         from fluxgrain.llm import topk
 
-        served: dict[tuple[int, int], topk.Served] = {}
+        served: dict[tuple[int, int], topk.Served] = {}  # by group and block: repeated rows may lead several blocks
         for batch in batches:
-            for group, first, qw, qi, qd, cw, ci, cd in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (group, first)
+            for group, name, qw, qi, qd, cw, ci, cd in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (group, name)
                 if key not in served:
                     served[key] = topk.Served(np.frombuffer(qi, np.int64), np.frombuffer(qd, np.int64).reshape(-1, qw), k)
                 served[key].meet(np.frombuffer(ci, np.int64), np.frombuffer(cd, np.int64).reshape(-1, cw))
@@ -173,7 +176,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     buckets = buckets.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("short", -F.col("c_longest"))
     buckets = buckets.repartition(lanes * groups, "lane", "group").sortWithinPartitions("lane", "group", "short")
     blocks = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(lanes * groups, "lane", "group").sortWithinPartitions("lane", "group")
-    met = buckets.join(blocks.hint("merge"), ["lane", "group"]).select("group", "q_first", "q_width", "q_ids", "q_data", "c_width", "c_ids", "c_data")
+    met = buckets.join(blocks.hint("merge"), ["lane", "group"]).select("group", "q_name", "q_width", "q_ids", "q_data", "c_width", "c_ids", "c_data")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

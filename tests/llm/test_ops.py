@@ -115,6 +115,21 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(200, 6)), 3)
+    x[0] *= 50  # leads the block of each partition
+    rows = [(0, x[0].tolist(), 0), *((i, x[i].tolist(), 0) for i in range(1, 100)), (0, x[0].tolist(), 0), *((i, x[i].tolist(), 0) for i in range(100, 200))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "vec_id long, embedding array<double>, rank int")
+    got = {(r["query_id"], r["rank"]): (r["score"], r["vec_id"]) for r in topk.top_k(df).collect()}
+    ids, q = np.array([r[0] for r in rows]), np.floor(64 * np.array([r[1] for r in rows])).astype(int)
+    want = {}
+    for i in range(0, 200, 20):
+        pairs = sorted((-int(q[a] @ q[b]), int(ids[b])) for a in np.nonzero(ids == i)[0] for b in range(len(rows)) if ids[b] != i)[:20]
+        want |= {(i, k + 1): (-s, j) for k, (s, j) in enumerate(pairs)}
+    assert got == want
+
+
 def test_huge_products_are_exact():
     a = np.array([[1 << 30, -(1 << 30)]], np.int64)
     assert topk.products(a, a).tolist() == [[1 << 61]]
