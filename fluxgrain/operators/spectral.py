@@ -96,7 +96,8 @@ def feature_matrix(series: DataFrame, cfg: Spectral, size: int | None = None, ho
 
 
 def multiscale_matrix(series: DataFrame, cfg: Spectral, engine: str = "catalyst") -> DataFrame:
-    """Fast features beside those of the slow window that a fast one's start falls in."""
+    """Fast features beside those of the slow window that a fast one's start falls in; null
+    beside those of a series too short for a slow window."""
     fast = feature_matrix(series, cfg, engine=engine)
     slow_hop = cfg.slow_window - cfg.slow_overlap
     slow = feature_matrix(series, cfg, cfg.slow_window, slow_hop, engine)
@@ -104,4 +105,4 @@ def multiscale_matrix(series: DataFrame, cfg: Spectral, engine: str = "catalyst"
     left = fast.select("series", "win", *[F.col(c).alias(f"fast__{c}") for c in names])
     match = ts.as_of_window(fast, slow, cfg.hop, slow_hop)
     right = slow.select("series", F.col("win").alias("slow_win"), *[F.col(c).alias(f"slow__{c}") for c in names])
-    return left.join(match, ["series", "win"]).join(right, ["series", "slow_win"]).drop("slow_win")
+    return left.join(match, ["series", "win"], "left").join(right, ["series", "slow_win"], "left").drop("slow_win")

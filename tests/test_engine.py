@@ -27,6 +27,15 @@ def test_psd_equals_fft(spark, n):
             np.testing.assert_allclose(rows[k], p, rtol=1e-9, atol=1e-9)
 
 
+def test_fast_windows_without_a_slow_one_stay(spark):
+    cfg = Spectral(window=8, overlap=4, channels=("flow_count",), deltas=False, slow_window=32)
+    both = series(spark, range(16)).unionByName(series(spark, range(40)).withColumn("series", F.lit(1)))
+    rows = spectral.multiscale_matrix(both, cfg).toPandas()
+    assert rows.groupby("series").size().to_dict() == {0: 3, 1: 9}
+    slow = rows.filter(like="slow__").notna().all(axis=1)
+    assert rows.filter(like="fast__").notna().all(axis=None) and (slow == (rows["series"] == 1)).all()
+
+
 @pytest.mark.parametrize("t,w,hop", [(10, 4, 2), (11, 4, 3), (4, 4, 1), (3, 4, 1), (12, 5, 7)])
 def test_hopping_windows(spark, t, w, hop):
     got = sorted((r["win"], r["j"], r["flow_count"]) for r in timeseries.windows(series(spark, range(t)), w, hop, ["flow_count"]).collect())
