@@ -18,8 +18,10 @@ _U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that this session sends to Python workers."""
+    """Bound the Arrow batches that this session sends to Python workers, and let shuffle files go
+    as soon as their query has ended: operators hand on tables in the shared folder, not shuffles."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

@@ -1,14 +1,17 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-cased words.  Tokens are ordered by rarity: by the
-frequency class, over all lines, of the hash slot that a token falls into (a table of fixed
+frequency class, over all documents, of the hash slot that a token falls into (a table of fixed
 size), then by hash.  Two lines whose Jaccard similarity reaches 4/5 must share a token among
-their first few (prefix filter); lengths, places in the prefix, and a parity word of each set
-(which bounds the symmetric difference from below) discard most meetings right in the join.
+their first few (prefix filter); lengths, places in the prefix, and parity words of each set
+(which bound the symmetric difference from below) discard most meetings right in the join.
 What is left is verified on the full token sets, and lines that match an earlier line go.
 
 Lines of equal token sets are one set with a first place before anything is joined, so a line
-that a third of all documents share is one row there.
+that a third of all documents share is one row there.  A token in the prefixes of up to SHORT
+sets lets all of them meet.  In longer lists, sets meet the HEADS earliest ones first; only those
+that match none go on, to the next earlier ones, GROWTH times as many, until the longest list is
+through: a family of thousands of similar lines costs a few meetings each, and no match is lost.
 
 Defined edge cases: lines end at \\n; a line without words is kept and matches nothing; null or
 empty text has no lines; order is (doc_id, line number); rows repeated with their doc_id have
@@ -19,103 +22,125 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Slots of the frequency table; classes are quarter powers of two.
 SLOTS = 1 << 17
+#: Sets of one prefix token that all meet; the first of longer lists, and how these grow by round.
+SHORT, HEADS, GROWTH = 64, 4, 16
 #: Documents with lines to verify: up to so many places are broadcast, more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 #: Bits of a token's hash that follow its class in the order.
 _BITS = 56
+#: Sets of more tokens have a second parity word.
+_WIDE = 48
+
+
+def _clean(text: Column) -> Column:
+    """Lower-cased text with its white space, but for line ends, as spaces."""
+    low, odd = F.lower(text), F.lit(False)
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
 
 
 def _hashes(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    rows = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), _clean(docs["text"].cast("string")).alias("text"))
+    return rows.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc, line (from 0) and hashed tokens of each line that has words."""
-    rows = docs.filter(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc"), F.posexplode(F.split(docs["text"].cast("string"), "\n", -1)).alias("line", "words"))
-    return rows.withColumn("tokens", _hashes(F.col("words"))).filter(F.size("tokens") > 0)
+    return _lines(docs).filter(F.col("words").rlike("[^ ]")).select("doc", "line", _hashes(F.col("words")).alias("tokens"))
 
 
-def frequency_table(lines: DataFrame) -> bytes:
+def frequency_table(docs: DataFrame) -> bytes:
     """The frequency class of each slot, one byte each; SLOTS rows reach the driver."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")).count()
+    words = _lines(docs).select(F.explode(F.split("words", " ")).alias("w"))
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
     table = bytearray(b"\x01" * SLOTS)
-    for r in counts.toLocalIterator():
+    for r in counts.collect():
         table[r["slot"]] = min(127, 1 + int(4 * math.log2(r["count"] + 1)))
     return bytes(table)
 
 
+def _slot(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
 def _ordered(table: bytes) -> Column:
     """Tokens as longs in order of rarity: class above, hash below."""
-    slot = lambda t: F.substring(F.lit(table), (F.pmod(t, F.lit(SLOTS)) + 1).cast("int"), F.lit(1))
-    rank = lambda t: F.shiftleft(F.ascii(slot(t).cast("string")).cast("long"), _BITS)
+    rank = lambda t: F.shiftleft(F.ascii(F.substring(F.lit(table), _slot(t) + 1, F.lit(1)).cast("string")).cast("long"), _BITS)
     return F.sort_array(F.transform("tokens", lambda t: rank(t).bitwiseOR(t.bitwiseAND(F.lit((1 << _BITS) - 1)))))
 
 
-def _parity(shift: int) -> Column:
-    """Oddly filled slots of 64, of the tokens whose bit 12 is that of shift: the two words share
-    the tokens out, so their differing bits together are at most the symmetric difference."""
-    mine = lambda t: t.bitwiseAND(F.lit(1 << 12)) == F.lit((1 << 12) if shift else 0)
-    slot = lambda t: F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: F.when(mine(t), a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), slot(t)))).otherwise(a))
+def _parity(half: bool) -> Column:
+    """Oddly filled slots of 64, of all tokens or of the half whose bit 6 is set: the differing
+    bits of two sets' words are at most the tokens that only one of them has."""
+    one = F.lit(1).cast("long")
+    mine = (lambda t: F.shiftright(t, 6).bitwiseAND(one)) if half else (lambda t: one)
+    return F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", mine(t), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _least_overlap(a: Column, b: Column) -> Column:
-    """Of sets of a and b tokens: 9 * overlap >= 4 * (a + b) is a similarity of 4/5."""
-    return F.ceil((a + b) * 4 / F.lit(9.0))
+def _place(doc: str, line: str) -> Column:
+    """doc and line as one number of the same order."""
+    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(line).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines with their set's first place (first_doc, first_line), and the sets that match an
-    earlier one (doc, line), by their first place."""
-    lines = split_lines(docs)
-    table = frequency_table(lines)
-    keyed = lines.withColumn("ordered", _ordered(table)).withColumn("n", F.size("ordered"))
-    prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5.0)).cast("int") + 1)
-    parity, parity_b = _parity(0), _parity(6)
-    ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
+def _read(docs: DataFrame) -> DataFrame:
+    """doc, line, n, place (the first one of its token set) of each line with words; and prefix,
+    parity and parity_b of one line a set, null for others.  Kept in the shared folder."""
+    keyed = split_lines(docs).select("doc", "line", _ordered(frequency_table(docs)).alias("ordered"))
+    n = F.size("ordered")
     # 32 bits of a token are enough to meet by: what meets is verified on the words themselves
-    short = F.transform(prefix, lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    full = materialise(keyed.select("doc", "line", "n", short.alias("prefix"), parity.alias("parity"), parity_b.alias("parity_b"), *ids), "lines")
-    sets = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("parity_b").alias("parity_b"))
-    sets = materialise(sets.select(F.col("place.doc").alias("doc"), F.col("place.line").alias("line"), "n", "prefix", "parity", "parity_b"), "linesets")
-    posting = sets.select("doc", "line", "n", "parity", "parity_b", F.posexplode("prefix").alias("i", "token"))
-    a = posting.select(*(F.col(c).alias(f"a_{c}") for c in posting.columns))
-    b = posting.select(*(F.col(c).alias(f"b_{c}") for c in posting.columns))
-    need = _least_overlap(F.col("a_n"), F.col("b_n"))
-    offers = F.col("b_n") - F.ceil(F.col("b_n") * 8 / F.lit(9.0)) + 1  # places that the shorter set has to offer
-    apart = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) + F.bit_count(F.col("a_parity_b").bitwiseXOR(F.col("b_parity_b")))
+    prefix = F.transform(F.slice("ordered", F.lit(1), n - F.ceil(n * 4 / F.lit(5.0)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
+    words = [_parity(False).alias("parity"), F.when(n > _WIDE, _parity(True)).otherwise(F.lit(0)).alias("parity_b")]
+    full = materialise(keyed.select(F.monotonically_increasing_id().alias("row"), "doc", "line", n.alias("n"), prefix.alias("prefix"), *words, *ids), "lines")
+    place = _place("doc", "line")
+    first = full.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.min(place).alias("place"), F.min_by("row", place).alias("first_row"))
+    of = full.join(first, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")))
+    lead = [F.when(F.col("row") == F.col("first_row"), F.col(c)).alias(c) for c in ("prefix", "parity", "parity_b")]
+    return materialise(of.select("doc", "line", "n", "place", *lead), "linesets")
+
+
+def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of an earlier set of x and a later one of y that may be similar enough, by a token both have.
+
+    For n tokens in all, a similarity of 4/5 is an overlap of 4n/9 and a symmetric difference of n/9.
+    """
+    names = ("doc", "line", "n", "i", "parity", "parity_b", "token")
+    x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in names)), y.select(*(F.col(c).alias(f"y_{c}") for c in names))
+    c = F.col
+    n = c("x_n") + c("y_n")
+    a, b = c("x_parity").bitwiseXOR(c("y_parity")), c("x_parity_b").bitwiseXOR(c("y_parity_b"))
+    apart = F.when(F.least("x_n", "y_n") > _WIDE, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a))
     close = (
-        (F.col("a_token") == F.col("b_token"))
-        & ((F.col("b_n") < F.col("a_n")) | (F.col("b_n") == F.col("a_n")) & ((F.col("b_doc") < F.col("a_doc")) | (F.col("b_doc") == F.col("a_doc")) & (F.col("b_line") < F.col("a_line"))))
-        & (F.col("b_n") * 5 >= F.col("a_n") * 4)
-        & (F.col("b_i") + (F.col("a_n") - F.col("a_n")) < offers)
-        & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need)
-        & (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
+        (c("x_token") == c("y_token"))
+        & (apart * 9 <= n)
+        & ((c("x_doc") < c("y_doc")) | (c("x_doc") == c("y_doc")) & (c("x_line") < c("y_line")))
+        & ((c("x_n") - c("x_i")) * 9 >= n * 4)
+        & ((c("y_n") - c("y_i")) * 9 >= n * 4)
     )
-    earlier = (F.col("a_doc") < F.col("b_doc")) | (F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line"))
-    pick = lambda x, y: (F.when(earlier, F.col(f"a_{x}")).otherwise(F.col(f"b_{x}")).alias(y))
-    drop = lambda x, y: (F.when(earlier, F.col(f"b_{x}")).otherwise(F.col(f"a_{x}")).alias(y))
-    pairs = a.join(b, close).select(pick("doc", "x_doc"), pick("line", "x_line"), drop("doc", "y_doc"), drop("line", "y_line"), apart.alias("apart")).distinct()
-    pairs = materialise(pairs, "linepairs")
+    return x.join(y, close).select("x_doc", "x_line", "y_doc", "y_line", apart.alias("apart"))
+
+
+def _settle(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """place of the later lines of pairs that match the earlier one."""
+    pairs = materialise(pairs.distinct(), "linepairs")
     some = materialise(_fetch(docs, pairs), "linetexts")
     # a line goes for one match, so its likeliest one is tried first, and all others where that fails
     first = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("apart", "x_doc", "x_line")).alias("x"))
     sure = materialise(_verified(first.select("x.x_doc", "x.x_line", "y_doc", "y_line"), some), "lineshits")
-    more = _verified(pairs.join(sure.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line")), ["y_doc", "y_line"], "left_anti"), some)
-    gone = materialise(sure.union(more).distinct(), "linesgone")
-    rows = full.select("doc", "line", "n", "set_a", "set_b")
-    marked = rows.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "line")).alias("place")).select("set_a", "set_b", "place.doc", "place.line")
-    marked = marked.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left")
-    marked = marked.select("set_a", "set_b", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return rows.join(marked, ["set_a", "set_b"]), gone
+    more = _verified(pairs.join(sure, ["y_doc", "y_line"], "left_anti"), some)
+    return materialise(sure.union(more).distinct().select(_place("y_doc", "y_line").alias("place")), "linesgone")
 
 
 def _fetch(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,22 +150,49 @@ def _fetch(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     some = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].cast("string").alias("text")).join(wanted, F.col("doc") == F.col("of"))
     some = some.select("doc", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("all")).select("doc", "line", F.get("all", F.col("line")).alias("words"))
-    return some.filter("words is not null").dropDuplicates(["doc", "line"]).select("doc", "line", _hashes(F.col("words")).alias("tokens"))
+    return some.filter("words is not null").dropDuplicates(["doc", "line"]).select("doc", "line", _hashes(_clean(F.col("words"))).alias("tokens"))
 
 
 def _verified(pairs: DataFrame, some: DataFrame) -> DataFrame:
-    """doc and line of the later lines of pairs whose token sets are similar enough."""
+    """y_doc and y_line of the later lines of pairs whose token sets are similar enough."""
     x, y = some.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("tokens").alias("s")), some.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("tokens").alias("t"))
     both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    sure = both.filter(F.size(F.array_intersect("s", "t")) * 9 >= (F.size("s") + F.size("t")) * 4)
-    return sure.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line")).distinct()
+    return both.filter(F.size(F.array_intersect("s", "t")) * 9 >= (F.size("s") + F.size("t")) * 4).select("y_doc", "y_line").distinct()
+
+
+def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (doc, line, n) with their set's first place, and the places of the sets that match an
+    earlier one."""
+    lines = _read(docs)
+    sets = lines.filter("prefix is not null")
+    spread = lambda rows: rows.select("doc", "line", "n", "parity", "parity_b", F.posexplode("prefix").alias("i", "token"))
+    postings = spread(sets)
+    long = materialise(postings.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > SHORT).select(F.col("token").alias("of"), "size"), "longlists")
+    most = long.agg(F.max("size")).first()[0] or 0
+    pairs = _meet(postings.join(long, F.col("token") == F.col("of"), "left_anti"), postings)
+    gone, done, limit = None, 0, HEADS
+    while gone is None or done < most:
+        if most:
+            # earliest sets of the lists that are not through yet; the first limit of a list are found before its rows meet
+            rows = spread(sets).join(long.filter(F.col("size") > done), F.col("token") == F.col("of"))
+            rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
+            heads = rows.withColumn("rank", rank).filter(F.col("rank") <= limit).filter(F.col("rank") > done)
+            open_sets = sets if gone is None else sets.join(gone, "place", "left_anti")
+            later = spread(open_sets).join(long.filter(F.col("size") > done), F.col("token") == F.col("of"))
+            met = _meet(heads, later)
+            pairs = met if pairs is None else pairs.union(met)
+        found = _settle(docs, pairs)
+        gone = found if gone is None else materialise(gone.union(found), "linesgone")
+        pairs, done, limit = None, limit if most else most, limit * GROWTH
+    return lines.select("doc", "line", "n", "place"), gone
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, line, n_tokens, repeats (of an equal earlier line) and kept of each line with words."""
-    lines, _ = matches(docs)
-    again = (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))
-    return lines.select(F.col("doc").alias("doc_id"), "line", F.col("n").alias("n_tokens"), again.alias("repeats"), (~again & ~F.col("gone")).alias("kept"))
+    lines, gone = matches(docs)
+    again = F.col("place") != _place("doc", "line")
+    marked = lines.join(gone.select(F.col("place").alias("gone")), F.col("place") == F.col("gone"), "left")
+    return marked.select(F.col("doc").alias("doc_id"), "line", F.col("n").alias("n_tokens"), again.alias("repeats"), (~again & F.col("gone").isNull()).alias("kept"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
