@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import scratch
+
 #: Rows of an Arrow batch.  Texts may be long, so batches are kept short; a Python worker
 #: then holds a few megabytes of text at a time whatever the size of the table.
 BATCH_ROWS = 512
@@ -29,34 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="fluxgrain-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session is gone already; its scratch folder goes with it
-        pass
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage durably.
 
-    The copy outlives lost executors and is removed when the driver ends.
+    The copy outlives lost executors and is removed by release() or when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/fluxgrain-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.keep(df, label)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables whose last reader has been written."""
+    scratch.release(*tables)
 
 
 def partitions(spark: SparkSession) -> int:

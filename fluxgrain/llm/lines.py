@@ -25,18 +25,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Slots of the frequency table; classes are quarter powers of two.
 SLOTS = 1 << 17
 #: Sets of one prefix token that all meet; the first of longer lists, and how these grow by round.
-SHORT, HEADS, GROWTH = 64, 4, 16
+SHORT, HEADS, GROWTH = 128, 4, 16
 #: Documents with lines to verify: up to so many places are broadcast, more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 #: Bits of a token's hash that follow its class in the order.
 _BITS = 56
 #: Sets of more tokens have a second parity word.
-_WIDE = 48
+_WIDE = 96
 
 
 def _clean(text: Column) -> Column:
@@ -108,7 +108,9 @@ def _read(docs: DataFrame) -> DataFrame:
     first = full.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.min(place).alias("place"), F.min_by("row", place).alias("first_row"))
     of = full.join(first, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")))
     lead = [F.when(F.col("row") == F.col("first_row"), F.col(c)).alias(c) for c in ("prefix", "parity", "parity_b")]
-    return materialise(of.select("doc", "line", "n", "place", *lead), "linesets")
+    sets = materialise(of.select("doc", "line", "n", "place", *lead), "linesets")
+    release(full)
+    return sets
 
 
 def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -166,24 +168,22 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = _read(docs)
     sets = lines.filter("prefix is not null")
     spread = lambda rows: rows.select("doc", "line", "n", "parity", "parity_b", F.posexplode("prefix").alias("i", "token"))
-    postings = spread(sets)
-    long = materialise(postings.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > SHORT).select(F.col("token").alias("of"), "size"), "longlists")
+    long = spread(sets).groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > SHORT)
+    long = materialise(long.select(F.col("token").alias("of"), "size"), "longlists")
     most = long.agg(F.max("size")).first()[0] or 0
-    pairs = _meet(postings.join(long, F.col("token") == F.col("of"), "left_anti"), postings)
+    met = materialise(_meet(spread(sets).join(long, F.col("token") == F.col("of"), "left_anti"), spread(sets)), "linepairs")
     gone, done, limit = None, 0, HEADS
     while gone is None or done < most:
-        if most:
-            # earliest sets of the lists that are not through yet; the first limit of a list are found before its rows meet
-            rows = spread(sets).join(long.filter(F.col("size") > done), F.col("token") == F.col("of"))
+        if done < most:
+            ahead = long.filter(F.col("size") > done)
             rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
-            heads = rows.withColumn("rank", rank).filter(F.col("rank") <= limit).filter(F.col("rank") > done)
-            open_sets = sets if gone is None else sets.join(gone, "place", "left_anti")
-            later = spread(open_sets).join(long.filter(F.col("size") > done), F.col("token") == F.col("of"))
-            met = _meet(heads, later)
-            pairs = met if pairs is None else pairs.union(met)
-        found = _settle(docs, pairs)
+            heads = spread(sets).join(ahead, F.col("token") == F.col("of")).withColumn("rank", rank).filter(F.col("rank") <= limit).filter(F.col("rank") > done)
+            later = spread(sets if gone is None else sets.join(gone, "place", "left_anti")).join(ahead, F.col("token") == F.col("of"))
+            more = materialise(_meet(heads, later), "linepairs")
+            met = more if gone is not None else met.union(more)
+        found = _settle(docs, met)
         gone = found if gone is None else materialise(gone.union(found), "linesgone")
-        pairs, done, limit = None, limit if most else most, limit * GROWTH
+        done, limit = (limit, limit * GROWTH) if most else (most, limit)
     return lines.select("doc", "line", "n", "place"), gone
 
 
