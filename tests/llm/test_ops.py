@@ -52,10 +52,78 @@ def test_main_text():
     assert html_text.extract("a < b") == "a < b"
 
 
+LONG = "<p>" + "plain words of a paragraph, and more of them, " * 9 + "</p>"
+
+
+def brute_density(node, share):
+    """Composite text density from the text itself: characters, tags, and those of links."""
+    chars = tags = link_chars = link_tags = 0
+    stack = [(node, node.tag == "a")]
+    while stack:
+        n, linked = stack.pop()
+        for c in n.children:
+            if isinstance(c, str):
+                k = len(c.replace(" ", "")) if c.strip() else 0
+                chars, link_chars = chars + k, link_chars + k * linked
+            elif not c.drop:
+                tags, link_tags = tags + 1, link_tags + (c.tag == "a")
+                stack.append((c, linked or c.tag == "a"))
+    link_tags += node.tag == "a"
+    if not chars:
+        return 0.0
+    c, t, lc, lt = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = max(math.log(c / max(c - link_chars, 1) * link_chars + share * c + math.e), math.e)
+    return c / t * max(math.log(c / lc * t / lt), 0.0) / math.log(base)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_densities_by_brute_force(seed):
+    rng = random.Random(seed)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "word " * rng.randrange(0, 40)
+        tag = rng.choice(["div", "p", "a", "section", "b", "ul", "nav"])
+        return f"<{tag}>" + "".join(make(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{tag}>"
+
+    root = html_text.dom("<body>" + "".join(make(4) for _ in range(4)) + "</body>")
+    order = html_text._measure(root)
+    body = next(n for n in order if n.tag == "body")
+    html_text._densities(order, body)
+    share = body.link_chars / max(body.chars, 1)
+    for n in order:
+        assert n.density == pytest.approx(brute_density(n, share))
+    sums = [n.density_sum for n in order if n is not root]
+    assert html_text._best(body).density_sum == max(sums)
+
+
+def test_main_text_without_an_article_element():
+    menu = "<div class=top>" + "".join(f"<a href=/{i}>entry {i}</a> " for i in range(12)) + "</div>"
+    want = ["Head", *[html_text.extract(LONG)] * 2]
+    for holder in ("div", "section", "td"):
+        for name in ("", " class='content has-sidebar'", " id=no-comments", " class=rail"):
+            open_, close = (f"<table><tr><td{name}>", "</td></tr></table>") if holder == "td" else (f"<{holder}{name}>", f"</{holder}>")
+            page = f"<body>{menu}{open_}<h1>Head</h1>{LONG}<div class=ad>{LONG}</div>{LONG}<div class=notice>Mind this</div>{close}<div class=sidebar>{LONG}</div><div id=comments>{LONG * 9}</div><div>short tail</div></body>"
+            assert html_text.extract(page).split("\n\n") == want, (holder, name)
+    assert html_text.extract(f"<body>{menu}<h1>Head</h1>{LONG}{LONG}<div>short tail</div></body>").split("\n\n") == want
+    # a doubtful name goes below the threshold alone, a heading stays before what is chosen
+    assert "Mind" not in html_text.extract(f"<article>{LONG}<div class=legal>Mind this</div></article>")
+    assert len(html_text.extract(f"<article>{LONG}<div class=legal>{LONG * 3}</div></article>").split("\n\n")) == 4
+    assert html_text.extract("<p>a <math><mi>x</mi></math> b<xmp><b>c</b></xmp>") == "a x b\n\n<b>c</b>"
+
+
+def test_densities_decide(monkeypatch):
+    pages = [f"<body><div>{'tail ' * 5}</div><div><h2>A</h2>{LONG * k}</div><div><p>other</p></div></body>" for k in (1, 2, 5)]
+    before = [html_text.extract(p) for p in [*pages, PAGE]]
+    monkeypatch.setattr(html_text, "composite_density", lambda *a: 0.0)
+    after = [html_text.extract(p) for p in [*pages, PAGE]]
+    assert all(b and a != b for a, b in zip(after, before, strict=True))
+
+
 def test_main_text_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 0), (None, None, None, 1)], "page_id long, url string, html string, text long")
-    rows = html_text.main_text(df).collect()
-    assert {(r["page_id"], r["n_chars"]) for r in rows} == {(1, len(html_text.extract(PAGE))), (None, 0)}
+    rows = html_text.main_text(df.union(df)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in rows) == [(0, 0)] * 2 + [(1, len(html_text.extract(PAGE)))] * 2
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
