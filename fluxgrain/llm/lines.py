@@ -8,10 +8,10 @@ their first few (prefix filter); lengths, places in the prefix, and parity words
 What is left is verified on the full token sets, and lines that match an earlier line go.
 
 Lines of equal token sets are one set with a first place before anything is joined, so a line
-that a third of all documents share is one row there.  A token in the prefixes of up to SHORT
-sets lets all of them meet.  In longer lists, sets meet the HEADS earliest ones first; only those
-that match none go on, to the next earlier ones, GROWTH times as many, until the longest list is
-through: a family of thousands of similar lines costs a few meetings each, and no match is lost.
+that a third of all documents share is one row there.  Each set first meets the HEADS earliest
+sets of each token of its prefix alone; only sets that match none of them meet all earlier ones.
+So members of a family of thousands of similar lines go after a few meetings each, and no match
+is lost.
 
 Defined edge cases: lines end at \\n; a line without words is kept and matches nothing; null or
 empty text has no lines; order is (doc_id, line number); rows repeated with their doc_id have
@@ -29,14 +29,14 @@ from .common import materialise, release
 
 #: Slots of the frequency table; classes are quarter powers of two.
 SLOTS = 1 << 17
-#: Sets of one prefix token that all meet; the first of longer lists, and how these grow by round.
-SHORT, HEADS, GROWTH = 128, 4, 16
+#: Sets of a prefix token that all others meet first.
+HEADS = 4
 #: Documents with lines to verify: up to so many places are broadcast, more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 #: Bits of a token's hash that follow its class in the order.
 _BITS = 56
 #: Sets of more tokens have a second parity word.
-_WIDE = 96
+_WIDE = 48
 
 
 def _clean(text: Column) -> Column:
@@ -113,19 +113,26 @@ def _read(docs: DataFrame) -> DataFrame:
     return sets
 
 
+def _spread(sets: DataFrame) -> DataFrame:
+    """A row for each token of each set's prefix."""
+    return sets.select("doc", "line", "n", "parity", "parity_b", *([F.col("open")] if "open" in sets.columns else []), F.posexplode("prefix").alias("i", "token"))
+
+
 def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of an earlier set of x and a later one of y that may be similar enough, by a token both have.
+    """Pairs of an earlier set of x and a later one of y that may be similar enough, by a token both
+    have; y's sets that are not open, if it says so, stay out.
 
     For n tokens in all, a similarity of 4/5 is an overlap of 4n/9 and a symmetric difference of n/9.
     """
-    names = ("doc", "line", "n", "i", "parity", "parity_b", "token")
-    x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in names)), y.select(*(F.col(c).alias(f"y_{c}") for c in names))
+    wanted = F.col("y_open") | (F.col("x_n") < 0) if "open" in y.columns else F.lit(True)  # of both sides, so that they share one shuffle
+    x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)), y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
     c = F.col
     n = c("x_n") + c("y_n")
     a, b = c("x_parity").bitwiseXOR(c("y_parity")), c("x_parity_b").bitwiseXOR(c("y_parity_b"))
     apart = F.when(F.least("x_n", "y_n") > _WIDE, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a))
     close = (
         (c("x_token") == c("y_token"))
+        & wanted
         & (apart * 9 <= n)
         & ((c("x_doc") < c("y_doc")) | (c("x_doc") == c("y_doc")) & (c("x_line") < c("y_line")))
         & ((c("x_n") - c("x_i")) * 9 >= n * 4)
@@ -137,6 +144,8 @@ def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
 def _settle(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """place of the later lines of pairs that match the earlier one."""
     pairs = materialise(pairs.distinct(), "linepairs")
+    if pairs.isEmpty():
+        return pairs.select(_place("y_doc", "y_line").alias("place"))
     some = materialise(_fetch(docs, pairs), "linetexts")
     # a line goes for one match, so its likeliest one is tried first, and all others where that fails
     first = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("apart", "x_doc", "x_line")).alias("x"))
@@ -167,23 +176,13 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     earlier one."""
     lines = _read(docs)
     sets = lines.filter("prefix is not null")
-    spread = lambda rows: rows.select("doc", "line", "n", "parity", "parity_b", F.posexplode("prefix").alias("i", "token"))
-    long = spread(sets).groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > SHORT)
-    long = materialise(long.select(F.col("token").alias("of"), "size"), "longlists")
-    most = long.agg(F.max("size")).first()[0] or 0
-    met = materialise(_meet(spread(sets).join(long, F.col("token") == F.col("of"), "left_anti"), spread(sets)), "linepairs")
-    gone, done, limit = None, 0, HEADS
-    while gone is None or done < most:
-        if done < most:
-            ahead = long.filter(F.col("size") > done)
-            rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
-            heads = spread(sets).join(ahead, F.col("token") == F.col("of")).withColumn("rank", rank).filter(F.col("rank") <= limit).filter(F.col("rank") > done)
-            later = spread(sets if gone is None else sets.join(gone, "place", "left_anti")).join(ahead, F.col("token") == F.col("of"))
-            more = materialise(_meet(heads, later), "linepairs")
-            met = more if gone is not None else met.union(more)
-        found = _settle(docs, met)
-        gone = found if gone is None else materialise(gone.union(found), "linesgone")
-        done, limit = (limit, limit * GROWTH) if most else (most, limit)
+    # the first of a list are found before its rows meet in a task
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
+    heads = _spread(sets).withColumn("rank", rank).filter(F.col("rank") <= HEADS).drop("rank")
+    gone = _settle(docs, _meet(heads, _spread(sets)))
+    out = gone.select(F.col("place").alias("gone"))
+    left = _spread(sets.join(out, F.col("place") == F.col("gone"), "left").withColumn("open", F.col("gone").isNull()))
+    gone = materialise(gone.union(_settle(docs, _meet(left, left))), "linesgone")
     return lines.select("doc", "line", "n", "place"), gone
 
 
