@@ -11,7 +11,9 @@ interval whose occurrences differ in the byte before them cannot be extended to
 maximal repeat and is given with all its occurrences.  All but the earliest are removed.
 
 Buckets of very many different blocks (a short phrase in ever new surroundings) are dealt out
-again by the hash of each whole window, so that no bucket has to fit a worker's memory.
+again by the hash of each whole window.  Equal windows are combined to their earliest place, first
+within a batch and then in the stream that a worker scans, so that neither a bucket nor a phrase
+that a third of all documents share has to fit a worker's memory.
 
 Defined edge cases: null or empty text has nothing to remove, nor has text shorter than the
 width; matches never cross documents; doc_id orders documents and identifies their text, so
@@ -215,22 +217,30 @@ SEGMENTS = "key long, doc long, at long, bytes binary"
 
 
 def _cut(batches):
-    """The bytes of the blocks that a document has to bring to its buckets."""
+    """The bytes of the blocks that a document has to bring to its buckets; without bytes, a window
+    that stands earlier in the batch."""
     unzip = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        keys, docs, ats, parts = [], [], [], []
+        rows: list[tuple] = []
+        least: dict[tuple, tuple] = {}  # window -> its earliest place in this batch
         for doc, blob, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             text = unzip(blob)
             for w in wanted:
                 at, span = w["at"], w["span"]
                 if w["kind"] == 1:
-                    keys.append(w["key"]), docs.append(doc), ats.append(at), parts.append(text[at : at + span + WIDTH - 1])
+                    rows.append((w["key"], doc, at, text[at : at + span + WIDTH - 1]))
                     continue
                 for p in range(at, at + span):
-                    window = text[p : p + WIDTH]
-                    digest = hashlib.blake2b(window, digest_size=8, key=w["key"].to_bytes(8, "little", signed=True)).digest()
-                    keys.append(int.from_bytes(digest, "little", signed=True)), docs.append(doc), ats.append(p), parts.append(window)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(parts, pa.binary())], ["key", "doc", "at", "bytes"])
+                    window, here = (w["key"], text[p : p + WIDTH]), (doc, p)
+                    other = least.setdefault(window, here)
+                    if other != here:
+                        least[window] = min(other, here)
+                        rows.append((doc, *max(other, here), None))
+        for (key, window), (doc, at) in least.items():
+            digest = hashlib.blake2b(window, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest()
+            rows.append((int.from_bytes(digest, "little", signed=True), doc, at, window))
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["key", "doc", "at", "bytes"])
 
 
 class SuffixArray:
@@ -349,14 +359,27 @@ def _scan(batches):
             d, s, e = _spans(np.concatenate(d), np.concatenate(s), np.concatenate(e))
             yield _rows(["doc", "start", "end"], d, s, e)
 
-    held, size = [], 0
+    held, size, key, again = [], 0, None, []
+    first = b""  # the key's earliest block, where it is a single window
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if size >= SORTED and held[-1][0] != row[0]:
-                yield from settle(held)
-                held, size = [], 0
+            if row[3] is None:
+                again.append(row[1:3])
+                continue
+            if row[0] != key:
+                if size >= SORTED:
+                    yield from settle(held)
+                    held, size = [], 0
+                key, first = row[0], row[3] if len(row[3]) == WIDTH else b""
+            elif row[3] == first:
+                again.append(row[1:3])
+                continue
             held.append(row)
             size += len(row[3])
+        if again:
+            d, s = (np.array(c, np.int64) for c in zip(*again))
+            yield _rows(["doc", "start", "end"], d, s, s + WIDTH)
+            again = []
     if held:
         yield from settle(held)
 

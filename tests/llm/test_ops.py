@@ -437,6 +437,51 @@ def test_large_buckets_are_dealt_out_again():
     assert kinds == [2] * 5000
 
 
+def in_process(texts, size=7):
+    """The operator's steps one after the other on this process, in batches of size rows."""
+    import pandas as pd
+    import pyarrow as pa
+    import zstandard
+
+    def through(step, table, by=None):
+        table = table.sort_values(by) if by else table
+        batches = [pa.RecordBatch.from_pandas(table.iloc[i : i + size], preserve_index=False) for i in range(0, len(table), size)]
+        made = [b.to_pandas() for b in step(iter(batches))]
+        return pd.concat(made) if made else None
+
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    found = through(repeats._buckets, through(repeats._send_blocks, rows), ["key", "body", "doc", "at"])
+    out = {i: [] for i in range(len(texts))}
+    for r in found[found.kind == 0].itertuples():
+        out[r.doc].append((r.at, r.at + r.span))
+    wanted = found[found.kind > 0]
+    if len(wanted):
+        parts = [(d, zstandard.compress((texts[d] or "").encode()), g[["kind", "key", "at", "span"]].to_dict("records")) for d, g in wanted.groupby("doc")]
+        scanned = through(repeats._scan, through(repeats._cut, pd.DataFrame(parts, columns=["doc", "blob", "wanted"])), ["key", "doc", "at"])
+        for r in scanned.itertuples() if scanned is not None else ():
+            out[r.doc].append((r.start, r.end))
+    report = []
+    for i, t in enumerate(texts):
+        t = (t or "").encode()
+        gone = repeats.merged(out[i])
+        kept = b"".join(t[a:b] for a, b in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(t)]))
+        report.append((len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+    return report
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 4096])
+def test_repeats_with_dealt_out_buckets(monkeypatch, blocks):
+    """A passage of little over 100 bytes in ever new surroundings, and texts in small pieces."""
+    monkeypatch.setattr(repeats, "BLOCKS", blocks)
+    monkeypatch.setattr(repeats, "PIECE", 500)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    hot, other = noise(104), noise(180)
+    texts = [noise(rng.randint(0, 90)) + (hot if i % 4 else other) + noise(rng.randint(0, 90)) + hot[:101] * (i % 5 == 0) for i in range(60)]
+    texts += [None, "", hot, hot, noise(20_000) + hot + "\n" + noise(9_000) + hot]
+    assert in_process(texts) == removed(texts)
+
+
 def test_maximal_repeats_lists_all_occurrences():
     a = b"k" * 5 + bytes(range(60, 120)) * 2
     array = repeats.SuffixArray([0, 0, 0], [b"1" + a + b"x", b"2" + a + b"y", b"3" + a + b"z"])
