@@ -6,13 +6,15 @@ describes any corpus; the plan is made on it alone, whatever the number of docum
 1. large pieces are sorted and cut into groups of equal cardinality, each rounded up to its
    longest member (linear grouping);
 2. configurations of the few rounded sizes are optimised by column generation (a covering LP;
-   knapsacks price the columns) and rounded down; what is left goes to best fit decreasing;
+   knapsacks price the columns) and rounded down; those that leave more than a small share of the
+   capacity empty are passed over, and what is left goes to best fit decreasing;
 3. actual lengths take the places of the rounded ones, run by run;
 4. small pieces fill what is left, longest first, each into the fullest sequence that holds it.
 
 The plan is a list of runs: ranks of a length, the first sequence, and how many of them each
 sequence takes at which offset.  Pieces get ranks within their length from counts by (length,
-bucket), so that no length, however common, meets in one task, and look their run up.
+bucket), so that no length, however common, meets in one task, and look their run up among those
+of their (length, bucket): a join by equality, of a table that the capacity bounds.
 
 Defined edge cases: null or empty text is the closing id alone (length 1); a document longer
 than the capacity is cut into full pieces and a shorter last one; repeated rows are pieces of
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
-#: Ways to plan: pieces above this share of the capacity are large; number of their groups.
-#: The first that needs no more sequences than the tokens alone do, else the best, is kept.
-SETTINGS = ((1 / 2, 64), (1 / 3, 48), (1 / 5, 32))
+#: Ways to plan: pieces above this share of the capacity are large; the number of their groups; the
+#: share of the capacity that a configuration may leave empty.
+SETTINGS = ((1 / 3, 128, 1 / 500), (1 / 5, 128, 1 / 200), (1 / 2, 64, 1.0))
+#: A plan is kept at once if it needs at most this share more sequences than the tokens alone do;
+#: else the best one is.
+NEAR = 1 / 1000
 #: Buckets of doc_id hashes by which ranks are counted.
 RANK_BUCKETS = 64
 #: Pieces of words whose ids a Python worker keeps at a time (it starts afresh beyond).
@@ -156,8 +161,9 @@ def _price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[np.ndar
     return column, float(best[capacity])
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(items of each size, times used), whole times only: the covering LP rounded down."""
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, waste: float = 1.0, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
+    """(items of each size, times used) of configurations that leave at most the share of waste
+    empty, whole times only: the covering LP rounded down."""
     n = len(sizes)
     if not n:
         return []
@@ -177,7 +183,8 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         use = np.maximum(use - step * way, 0)
         use[k] = step
         basis[:, k] = column
-    return [(np.rint(basis[:, k]).astype(int), int(use[k] + 1e-9)) for k in range(n) if use[k] >= 1 - 1e-9]
+    full = sizes @ np.rint(basis) >= capacity * (1 - waste)
+    return [(np.rint(basis[:, k]).astype(int), int(use[k] + 1e-9)) for k in range(n) if full[k] and use[k] >= 1 - 1e-9]
 
 
 class Plan:
@@ -235,16 +242,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Pack a histogram of lengths by the best of SETTINGS; every count is placed."""
     least = -(-sum(s * c for s, c in histogram.items()) // capacity)
     best: Plan | None = None
-    for large_share, groups in SETTINGS:
-        made = plan_by(histogram, capacity, large_share, groups)
+    for large_share, groups, waste in SETTINGS:
+        made = plan_by(histogram, capacity, large_share, groups, waste)
         if best is None or made.sequences < best.sequences:
             best = made
-        if best.sequences <= least:
+        if best.sequences <= least * (1 + NEAR):
             break
     return best
 
 
-def plan_by(histogram: dict[int, int], capacity: int, large_share: float, groups: int) -> Plan:
+def plan_by(histogram: dict[int, int], capacity: int, large_share: float, groups: int, waste: float = 1.0) -> Plan:
     """Linear grouping of the large lengths, configurations, substitution, best fit."""
     out = Plan(capacity)
     left = {s: c for s, c in histogram.items() if c}
@@ -273,7 +280,7 @@ def plan_by(histogram: dict[int, int], capacity: int, large_share: float, groups
         for s, q in zip(sizes.tolist(), queues):
             merged[s] += q
         weight = np.array([sum(c for _, c in merged[s]) for s in distinct])
-        for column, times in configurations(np.array(distinct), weight, capacity):
+        for column, times in configurations(np.array(distinct), weight, capacity, waste):
             slots = [merged[s] for s, n in zip(distinct, column.tolist()) for _ in range(n)]
             while times and all(slots):
                 need: dict[int, int] = {}
@@ -319,6 +326,22 @@ def plan_by(histogram: dict[int, int], capacity: int, large_share: float, groups
     return out
 
 
+def _by_cell(cells: list[tuple], runs: list[tuple]) -> list[tuple]:
+    """(length, bucket, before, low, high, first, per, head): the runs that each cell's ranks, from
+    before on, fall into.  Runs of a length follow one another without a gap."""
+    of: dict[int, list[tuple]] = {}
+    for length, *run in runs:
+        of.setdefault(length, []).append(tuple(run))
+    out = []
+    for length, bucket, before, count in cells:
+        mine = of[length]
+        k = bisect.bisect_right(mine, before, key=lambda r: r[0]) - 1
+        while k < len(mine) and mine[k][0] < before + count:
+            out.append((length, bucket, before, *mine[k]))
+            k += 1
+    return out
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
     spark = docs.sparkSession
@@ -326,16 +349,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     counts = cut.groupBy("length", "bucket").count()
     # at most capacity x RANK_BUCKETS rows, whatever the input: a histogram
     histogram: dict[int, int] = {}
-    starts = []
+    cells = []
     for s, b, c in sorted((r["length"], r["bucket"], r["count"]) for r in counts.collect()):
-        starts.append((s, b, histogram.get(s, 0)))
+        cells.append((s, b, histogram.get(s, 0), c))
         histogram[s] = histogram.get(s, 0) + c
-    made = plan(histogram, capacity)
-    first = F.broadcast(spark.createDataFrame(starts, "length long, bucket int, before long"))
-    runs = F.broadcast(spark.createDataFrame(made.runs, "length long, low long, high long, first long, per long, head long"))
+    looked_up = spark.createDataFrame(_by_cell(cells, plan(histogram, capacity).runs), "length long, bucket int, before long, low long, high long, first long, per long, head long")
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = cut.withColumn("place", F.row_number().over(order)).join(first, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    hit = ranked.join(runs.withColumnRenamed("length", "run_length"), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    ranked = cut.withColumn("place", F.row_number().over(order)).join(looked_up, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("place") - 1)
+    hit = ranked.filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     step = F.col("rank") - F.col("low")
     return hit.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluxgrain.llm import graph, html_text, lines, lm, matroska, minhash, mixing, packing, queries, repeats, topk, toxicity
 
@@ -348,6 +349,51 @@ def test_plan_places_everything(seed):
             assert end <= 100
 
 
+@pytest.mark.parametrize("low, high, gain", [(500, 1000, 1.06), (400, 700, 1.05), (300, 1200, 1.0)])
+def test_plan_beats_best_fit(low, high, gain):
+    """Lengths without small ones, where best fit decreasing leaves much empty."""
+    rng = random.Random(1)
+    h = collections.Counter(rng.randint(low, high) for _ in range(20_000))
+    plain = packing.Plan(2048)
+    for s in sorted(h, reverse=True):
+        plain.fill(s, h[s])
+    made = packing.plan(h, 2048)
+    least = -(-sum(s * c for s, c in h.items()) // 2048)
+    assert least <= made.sequences and made.sequences * gain <= plain.sequences
+
+
+def test_plan_is_at_the_token_bound_by_configurations(monkeypatch):
+    """Documents of mixed lengths: the first setting places large pieces side by side, and needs
+    no more sequences than best fit or a thousandth over the tokens alone."""
+    rng = random.Random(4)
+    h = collections.Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(30_000))
+    several = []
+    real = packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda *a: several.extend(real(*a)) or real(*a))
+    made = packing.plan(h, 2048)
+    least = -(-sum(s * c for s, c in h.items()) // 2048)
+    assert made.sequences <= least * 1.001 + 1
+    assert any(c.sum() > 1 and t for c, t in several)
+
+
+def test_cells_hold_the_runs_of_their_ranks():
+    rng = random.Random(2)
+    runs, cells, want = [], [], {}
+    for length in (3, 9):
+        at, ends = 0, sorted(rng.sample(range(1, 200), 12))
+        for e in ends:
+            runs.append((length, at, e, rng.randrange(99), 1, 0))
+            want |= {(length, k): runs[-1][1:] for k in range(at, e)}
+            at = e
+        cuts = [0, *sorted(rng.sample(range(1, at), 5)), at]
+        cells += [(length, b, x, y - x) for b, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+    rng.shuffle(runs)
+    rows = packing._by_cell(cells, sorted(runs))
+    for length, b, before, count in cells:
+        for k in range(before, before + count):
+            assert [r[3:] for r in rows if r[:2] == (length, b) and r[3] <= k < r[4]] == [want[length, k]]
+
+
 def test_pack(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -365,7 +411,9 @@ def test_pack(spark, corpus):
         assert mine.ids_crc32.tolist() == [zlib.crc32(ids[s : s + 2048].tobytes()) for s in mine.start]
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 2048
-    assert packing.pack(docs(spark, []) if False else docs(spark, ["x"]).limit(0)).count() == 0
+    assert packing.pack(docs(spark, ["x"]).limit(0)).count() == 0
+    again = docs(spark, ["x y", "x y", None])
+    assert packing.pack(again.union(again).withColumn("length", F.lit("clash"))).count() == 6
 
 
 # 8
