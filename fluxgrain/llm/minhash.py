@@ -3,10 +3,12 @@
 Each permutation gives two signature values, the least and the greatest image of a set, so half
 as many hash evaluations fill the same bands.  Documents with equal sets are one class first;
 representatives that share a band are candidates.  Every candidate is compared with the most
-central member of its bucket; where a bucket still holds unconnected members after that, its
-members meet block by block, by a parity word of each set that bounds the symmetric difference
-from below, and every pair across components that it cannot rule out is compared as well.  All
-links are confirmed exactly, on whole shingle sets.
+central member of its bucket.  In a bucket that then holds several components, its members are
+compared with a member drawn anew, as long as that joins many of them, so that a family of
+thousands of near copies is connected by a few comparisons each.  In what stays open, members
+meet block by block, by a parity word of each set that bounds the symmetric difference from
+below, and every pair across components that it cannot rule out is compared as well.  All links
+are confirmed exactly, on whole shingle sets.
 
 Words are runs of bytes other than ASCII white space, A-Z lowered.  A set holds the distinct
 k-word shingles, the whole sequence if the text is shorter, and nothing without words.
@@ -34,7 +36,10 @@ from .graph import connected_components
 MISS, VALUES = 1e-6, 128
 #: Shingles handled at a time, words kept by a worker, members of a block in a large bucket, bits
 #: of a parity word.
-CHUNK, KEPT, BLOCK, BITS = 400_000, 500_000, 2048, 512
+CHUNK, KEPT, BLOCK, BITS = 400_000, 500_000, 1024, 512
+#: Buckets of more members than this get a new centre, for at most so many rounds, while a round
+#: joins one in ten of those it compared.
+LARGE, STARS, JOINED = 64, 6, 0.1
 _U = np.uint64
 
 
@@ -210,6 +215,43 @@ def _block_pairs(share: int):
     return run
 
 
+def _held(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets with their components so far."""
+    parts = connected_components(links)
+    return shared.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+
+
+def _open(held: DataFrame, *more) -> DataFrame:
+    """key and n of the buckets that hold several components."""
+    return held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *more).filter("low < high")
+
+
+def _again(shared: DataFrame, blobs: DataFrame, links: DataFrame, k: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with their components, and links, after rounds in which members of large
+    open buckets are compared with a new centre: one drawn by hash, in each round another, from the
+    component that has most members in the bucket."""
+    held = materialise(_held(shared, links), "held")
+    for turn in range(STARS):
+        large = _open(held).filter(F.col("n") > LARGE).select("key")
+        of = held.join(large, "key")
+        # the centre: of the component with most members in the bucket, the member of the least hash
+        parts = of.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("drawn"))
+        centre = parts.groupBy("key").agg(F.max(F.struct("size", (-F.col("comp")).alias("minus"), F.col("drawn.doc").alias("centre"))).alias("top"))
+        pairs = of.join(centre, "key").filter(F.col("comp") != -F.col("top.minus")).select(F.greatest("doc", "top.centre").alias("a"), F.least("doc", "top.centre").alias("b")).distinct()
+        pairs = materialise(pairs, "pairs")
+        asked = pairs.count()
+        if not asked:
+            break
+        found = materialise(_confirm(pairs, blobs, k, share), "links")
+        joined = found.count()
+        if joined:
+            links = materialise(links.unionByName(found), "links")
+            held = materialise(_held(shared, links), "held")
+        if joined < JOINED * asked:
+            break
+    return held, links
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; linked are documents with
     100 * intersection >= share * union."""
@@ -230,10 +272,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
     blobs = materialise(packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = materialise(_confirm(star, blobs, k, share), "links")
-    parts = connected_components(links)
-    held = shared.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    open_ = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("print"), F.count("*").alias("n"))
-    open_ = open_.filter("low < high").groupBy("print", "n").agg(F.min("key").alias("key"))  # buckets of the same members count once
+    held, links = _again(shared, blobs, links, k, share)
+    open_ = _open(held, F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("print"))
+    open_ = open_.groupBy("print", "n").agg(F.min("key").alias("key"))  # buckets of the same members count once
     blocks = held.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     blocks = blocks.withColumn("i", F.pmod(F.hash("doc"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("key", "doc", "comp", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"))

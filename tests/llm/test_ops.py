@@ -289,6 +289,30 @@ def test_near_duplicates(spark, corpus, k, share):
     assert minhash.near_duplicates(docs(spark, texts).limit(0), k, share).count() == 0
 
 
+@pytest.mark.parametrize("large, block", [(3, 4), (10**9, 4), (3, 2048)])
+def test_large_families(spark, monkeypatch, large, block):
+    """Copies at and around the threshold, in buckets dealt to rounds of centres and to blocks."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    base = words(rng, 70, 10**6).split()
+    texts = []
+    for d in range(40):
+        w = list(base)
+        for at in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+            w[at] = f"v{d}x{at}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(texts, 3, 85)[0]
+
+
+def test_near_duplicates_with_odd_rows(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f"), (None, "a b c d e f"), (None, None), (3, None), (4, "")]
+    df = spark.createDataFrame([(i, t, 7, "k", -1) for i, t in rows], "doc_id long, text string, component_id int, band string, n_shingles int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 3, 85).collect()), key=str)
+    assert got == sorted([(1, 4, 1, True)] * 2 + [(2, 4, 1, False), (None, 4, None, True), (None, 0, None, True), (3, 0, 3, True), (4, 0, 4, True)], key=str)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 10), (20, 19), (19, 18), (18, 17), (17, 16)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
