@@ -45,7 +45,7 @@ NEAR = 1 / 1000
 #: Buckets of doc_id hashes by which ranks are counted.
 RANK_BUCKETS = 64
 #: Pieces of words whose ids a Python worker keeps at a time (it starts afresh beyond).
-KEPT = 500_000
+KEPT = 1_200_000
 #: Texts of these characters alone are split by us just as the tokenizer would: letters that
 #: are their own NFC form and lower one by one, ASCII digits, marks but the apostrophe, and space.
 _OTHER = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ0-9\t\n\r -&(-~]|<\\|")
