@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +161,12 @@ class Model:
         marks = {f for f, (c, t) in seen.items() if t >= support and c / many[0] <= CLEAN_SHARE * t / many[1]}
         index = {f: i for i, f in enumerate(sorted(f for f, (c, t) in seen.items() if c + t >= support))}
         marked = np.array([any(f in marks for f in fs) for fs in of_word], bool)
-        links = [(w, index[f]) for w, fs in enumerate(of_word) for f in fs if f in index]
-        rows, cols = np.array(links, np.int64).reshape(-1, 2).T
+        links = array("i")  # word, feature, word, feature ...: tuples would take the driver's memory
+        for w, fs in enumerate(of_word):
+            for f in fs:
+                if f in index:
+                    links.extend((w, index[f]))
+        rows, cols = np.array(links, np.int32).reshape(-1, 2).T.copy()
         chosen = [k for k in np.nonzero(half)[0].tolist() if len(streams[k])]
         if not chosen:  # no words at all: the share of toxic documents is all there is to say
             self.logit[0] = math.log(max(labels.mean(), 1e-9) / max((1 - labels.mean()) * ratio, 1e-9))
