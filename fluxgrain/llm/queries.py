@@ -11,42 +11,52 @@ from .common import table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text, n_chars."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score, a decision and held_out of every document; labels of a third of the ids are never learnt from."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest integer inner products of every twentieth vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean per-token difference of cross-entropies of every document under the target's and the background's model."""
     return lm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component and set size of every document: three-word shingles, a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
 
 
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit samples in a Matroska stream, read back and digested."""
     return matroska.text_round_trip(table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 2,048 tokens and its place there."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with words: its tokens, whether it repeats an equal earlier line, and whether it is kept."""
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document repeated to its source's target weight, with the number and the key of each copy."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", "text", "mix_copy", "mix_copies", "mix_key")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes of earlier-seen strings of 100 bytes."""
     return repeats.repeat_report(table(spark, sf_dir, "documents"))
 
 
