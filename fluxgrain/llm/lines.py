@@ -151,7 +151,9 @@ def _settle(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     first = pairs.groupBy("y_doc", "y_line").agg(F.min(F.struct("apart", "x_doc", "x_line")).alias("x"))
     sure = materialise(_verified(first.select("x.x_doc", "x.x_line", "y_doc", "y_line"), some), "lineshits")
     more = _verified(pairs.join(sure, ["y_doc", "y_line"], "left_anti"), some)
-    return materialise(sure.union(more).distinct().select(_place("y_doc", "y_line").alias("place")), "linesgone")
+    gone = materialise(sure.union(more).distinct().select(_place("y_doc", "y_line").alias("place")), "linesgone")
+    release(pairs, some, sure)
+    return gone
 
 
 def _fetch(docs: DataFrame, pairs: DataFrame) -> DataFrame:

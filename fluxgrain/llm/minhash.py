@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, prepare, seeds, utf8_values
+from .common import materialise, mix64, prepare, release, seeds, utf8_values
 from .graph import connected_components
 
 #: Chance at most that two documents right at the threshold share no band; signature values.
@@ -244,9 +244,11 @@ def _again(shared: DataFrame, blobs: DataFrame, links: DataFrame, k: int, share:
             break
         found = materialise(_confirm(pairs, blobs, k, share), "links")
         joined = found.count()
+        release(pairs)
         if joined:
-            links = materialise(links.unionByName(found), "links")
+            links, old = materialise(links.unionByName(found), "links"), (links, held, found)
             held = materialise(_held(shared, links), "held")
+            release(*old)
         if joined < JOINED * asked:
             break
     return held, links
@@ -272,6 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
     blobs = materialise(packed(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links = materialise(_confirm(star, blobs, k, share), "links")
+    release(star)
     held, links = _again(shared, blobs, links, k, share)
     open_ = _open(held, F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("print"))
     open_ = open_.groupBy("print", "n").agg(F.min("key").alias("key"))  # buckets of the same members count once
