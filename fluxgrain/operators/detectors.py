@@ -1,9 +1,10 @@
 """Anomaly detectors.
 
-The tail, copula and histogram detectors are relational: features are unpivoted, so that ranks
-run in one window per feature, and scores add up over features.  Transductive mode ranks train
-and scored rows together; inductive mode freezes the train's distribution.  Forests and networks
-train on the driver on a bounded sample of the (small) window matrix and score in Arrow batches.
+The tail, copula and histogram detectors are relational: features are unpivoted, ranks are running
+counts over ranges of a feature's values, and scores add up over features.  Transductive mode
+ranks train and scored rows together; inductive mode freezes the train's distribution.  Forests
+and networks train on the driver, on TRAIN_ROWS rows of the window matrix at most (a parameter;
+with windows of a minute's hop that is 138 days), and score in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,29 +15,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+from .networks import DeepSvdd, VariationalAutoencoder
 from .scaling import unpivot
 
-#: Rows that driver-side training uses at most.
+#: Rows that driver-side training uses at most, chosen by hash.
 TRAIN_ROWS = 200_000
 
 
-def _tails(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
+def _signs(rows: DataFrame) -> DataFrame:
+    """feature and sign of its skewness, 0 for a constant one; a row per feature."""
+    mean = rows.groupBy("feature").agg(F.avg("x").alias("m"))
+    third = rows.join(F.broadcast(mean), "feature").groupBy("feature").agg(F.avg(F.pow(F.col("x") - F.col("m"), F.lit(3))).alias("m3"), F.max("x").alias("hi"), F.min("x").alias("lo"))
+    return third.select("feature", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(F.signum("m3")).alias("sign"))
+
+
+def _tails(rows: DataFrame) -> DataFrame:
     """-ln of both tail probabilities of each value among its feature's, and the skewness sign.
 
-    Ranks come from counts of distinct values: equal values are one row in the ranking window.
+    Ranks come from running counts of distinct values, over ranges of a feature's values.
     """
-    values = rows.groupBy("feature", "x").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("c").over(Window.partitionBy("feature"))
-    left = F.sum("c").over(w)
-    ranked = values.withColumn("l", -F.ln(left / n)).withColumn("r", -F.ln((n - left + F.col("c")) / n)).select("feature", "x", "l", "r")
-    mean = rows.groupBy("feature").agg(F.avg("x").alias("m"))
-    third = rows.join(F.broadcast(mean), "feature").groupBy("feature").agg(F.avg(F.pow(F.col("x") - F.col("m"), F.lit(3))).alias("m3"), F.max("x").alias("hi"), F.min("x").alias("lo"))
-    sign = third.select("feature", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise(F.signum("m3")).alias("sign"))
-    return rows.join(ranked, ["feature", "x"]).join(F.broadcast(sign), "feature")
+    t = ranks.counted(rows, ["feature"], "x")
+    left, n = F.col("run_c"), F.col("all_c")
+    ranked = t.select("feature", "x", (-F.ln(left / n)).alias("l"), (-F.ln((n - left + F.col("c")) / n)).alias("r"))
+    return rows.join(ranked, ["feature", "x"]).join(F.broadcast(_signs(rows)), "feature")
 
 
 def tail_scores(rows: DataFrame, ids: Sequence[str], features: Sequence[str], kind: str = "ecod") -> DataFrame:
@@ -45,7 +50,7 @@ def tail_scores(rows: DataFrame, ids: Sequence[str], features: Sequence[str], ki
     ecod: sum over features of max(L, R, S); copod: of max(S, (L + R) / 2); S is the tail that
     the skewness points to.
     """
-    t = _tails(unpivot(rows, ids, features), ids)
+    t = _tails(unpivot(rows, ids, features))
     skewed = F.when(F.col("sign") < 0, F.col("l")).when(F.col("sign") > 0, F.col("r")).otherwise(F.col("l") + F.col("r"))
     each = F.greatest("l", "r", skewed) if kind == "ecod" else F.greatest(skewed, (F.col("l") + F.col("r")) / 2)
     return t.groupBy(*ids).agg(F.sum(each).alias("raw"))
@@ -54,18 +59,14 @@ def tail_scores(rows: DataFrame, ids: Sequence[str], features: Sequence[str], ki
 def inductive_tail_scores(train: DataFrame, rows: DataFrame, ids: Sequence[str], features: Sequence[str], kind: str = "ecod") -> DataFrame:
     """As tail_scores with each row ranked against the train rows alone.
 
-    Values of both are merged in one ranking window per feature; the row itself counts once.
+    Values of both are merged before they are ranked; the row itself counts once.
     """
-    t = unpivot(train, [], features).withColumn("own", F.lit(1))
-    r = unpivot(rows, ids, features)
-    both = t.groupBy("feature", "x").agg(F.count("*").alias("c")).unionByName(r.select("feature", "x", F.lit(0).cast("long").alias("c"))).groupBy("feature", "x").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("c").over(Window.partitionBy("feature"))
-    left = F.sum("c").over(w)
-    ranked = both.withColumn("l", -F.ln((left + 1) / (n + 1))).withColumn("r", -F.ln((n - left + F.col("c") + 1) / (n + 1))).select("feature", "x", "l", "r")
-    mean = t.groupBy("feature").agg(F.avg("x").alias("m"))
-    sign = t.join(F.broadcast(mean), "feature").groupBy("feature").agg(F.signum(F.avg(F.pow(F.col("x") - F.col("m"), F.lit(3)))).alias("sign"))
-    j = r.join(ranked, ["feature", "x"]).join(F.broadcast(sign), "feature")
+    t, r = unpivot(train, [], features), unpivot(rows, ids, features)
+    both = t.groupBy("feature", "x").agg(F.count("*").alias("w")).unionByName(r.select("feature", "x", F.lit(0).cast("long").alias("w")))
+    c = ranks.counted(both, ["feature"], "x")
+    left, n = F.col("run_c"), F.col("all_c")
+    ranked = c.select("feature", "x", (-F.ln((left + 1) / (n + 1))).alias("l"), (-F.ln((n - left + F.col("c") + 1) / (n + 1))).alias("r"))
+    j = r.join(ranked, ["feature", "x"]).join(F.broadcast(_signs(t)), "feature")
     skewed = F.when(F.col("sign") < 0, F.col("l")).when(F.col("sign") > 0, F.col("r")).otherwise(F.col("l") + F.col("r"))
     each = F.greatest("l", "r", skewed) if kind == "ecod" else F.greatest(skewed, (F.col("l") + F.col("r")) / 2)
     return j.groupBy(*ids).agg(F.sum(each).alias("raw"))
@@ -113,6 +114,7 @@ class IsolationForest:
 
     trees: int = 200
     samples: int = 512
+    share: float = 1.0  # of the features, drawn anew for each tree
     seed: int = 42
     forest: list[tuple[np.ndarray, ...]] = field(default_factory=list)
     size: int = 0
@@ -127,6 +129,8 @@ class IsolationForest:
         top = math.ceil(math.log2(max(self.size, 2)))
         for _ in range(self.trees):
             part = x[rng.choice(len(x), self.size, replace=False)]
+            allowed = np.zeros(x.shape[1], bool)
+            allowed[rng.permutation(x.shape[1])[: max(1, int(self.share * x.shape[1]))]] = True
             feature, cut, left, right, depth = [], [], [], [], []
             stack = [(np.arange(self.size), 0, -1, False)]
             while stack:
@@ -137,7 +141,7 @@ class IsolationForest:
                 feature.append(-1), cut.append(0.0), left.append(-1), right.append(-1)
                 depth.append(level + self._norm(len(ids)))
                 lo, hi = part[ids].min(0), part[ids].max(0)
-                wide = np.nonzero(hi > lo)[0]
+                wide = np.nonzero((hi > lo) & allowed)[0]
                 if level >= top or len(ids) <= 1 or not len(wide):
                     continue
                 f = int(rng.choice(wide))
@@ -163,176 +167,4 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.forest) / max(self._norm(self.size), 1e-12))
 
 
-class _Adam:
-    def __init__(self, params: dict[str, np.ndarray], rate: float) -> None:
-        self.p, self.rate, self.t = params, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
-
-    def step(self, grads: dict[str, np.ndarray], clip: float = 1.0) -> None:
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, clip / (norm + 1e-12))
-        self.t += 1
-        for k, g in grads.items():
-            g = g * scale
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
-
-
-def _act(z):
-    return np.where(z > 0, z, 0.1 * z)
-
-
-def _slope(z):
-    return np.where(z > 0, 1.0, 0.1)
-
-
-@dataclass
-class VariationalAutoencoder:
-    """Two hidden layers each way; raw is the mean squared error of reconstruction at the mean."""
-
-    hidden: tuple[int, ...] = (128, 64)
-    latent: int = 16
-    beta: float = 1.0
-    warm_up: int = 10
-    epochs: int = 60
-    batch: int = 256
-    rate: float = 1e-3
-    patience: int = 10
-    seed: int = 42
-    p: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def _forward(self, x, eps=None):
-        p, h, cache = self.p, x, {}
-        n = len(self.hidden)
-        for i in range(n):
-            z = h @ p[f"e{i}"] + p[f"eb{i}"]
-            cache[f"ei{i}"], cache[f"ez{i}"] = h, z
-            h = _act(z)
-        mu, lv = h @ p["mu"] + p["mub"], np.clip(h @ p["lv"] + p["lvb"], -10, 10)
-        z = mu if eps is None else mu + eps * np.exp(0.5 * lv)
-        cache |= {"top": h, "mu": mu, "lv": lv, "z": z}
-        h = z
-        for i in range(n):
-            a = h @ p[f"d{i}"] + p[f"db{i}"]
-            cache[f"di{i}"], cache[f"dz{i}"] = h, a
-            h = _act(a)
-        cache["last"] = h
-        return h @ p["out"] + p["outb"], cache
-
-    def fit(self, x: np.ndarray, validation: np.ndarray | None = None) -> "VariationalAutoencoder":
-        rng = np.random.default_rng(self.seed)
-        d, n = x.shape[1], len(self.hidden)
-        init = lambda a, b: rng.normal(0, math.sqrt(2 / a), (a, b))
-        sizes = [d, *self.hidden]
-        for i in range(n):
-            self.p[f"e{i}"], self.p[f"eb{i}"] = init(sizes[i], sizes[i + 1]), np.zeros(sizes[i + 1])
-        self.p |= {"mu": init(sizes[-1], self.latent), "mub": np.zeros(self.latent), "lv": init(sizes[-1], self.latent) * 0.1, "lvb": np.zeros(self.latent)}
-        back = [self.latent, *reversed(self.hidden)]
-        for i in range(n):
-            self.p[f"d{i}"], self.p[f"db{i}"] = init(back[i], back[i + 1]), np.zeros(back[i + 1])
-        self.p |= {"out": init(back[-1], d), "outb": np.zeros(d)}
-        opt, best, kept, wait = _Adam(self.p, self.rate), math.inf, None, 0
-        check = x if validation is None else validation
-        for epoch in range(1, self.epochs + 1):
-            beta = self.beta * min(1.0, epoch / self.warm_up)
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), self.batch):
-                b = x[order[at : at + self.batch]]
-                if len(b) < self.batch <= len(x):
-                    break
-                self._step(opt, b, rng.normal(size=(len(b), self.latent)), beta)
-            loss = float(self.raw(check).mean())
-            if loss < best - 1e-6:
-                best, kept, wait = loss, {k: v.copy() for k, v in self.p.items()}, 0
-            else:
-                wait += 1
-                if wait >= self.patience:
-                    break
-        self.p = kept or self.p
-        return self
-
-    def _step(self, opt, b, eps, beta) -> None:
-        p, n, m = self.p, len(self.hidden), len(b)
-        y, c = self._forward(b, eps)
-        g, d = {}, 2 * (y - b) / m
-        g["out"], g["outb"] = c["last"].T @ d, d.sum(0)
-        d = d @ p["out"].T
-        for i in reversed(range(n)):
-            d = d * _slope(c[f"dz{i}"])
-            g[f"d{i}"], g[f"db{i}"] = c[f"di{i}"].T @ d, d.sum(0)
-            d = d @ p[f"d{i}"].T
-        # KL is a mean over rows of half the sum over latents
-        dmu = d + beta * c["mu"] / m
-        dlv = d * eps * 0.5 * np.exp(0.5 * c["lv"]) + beta * 0.5 * (np.exp(c["lv"]) - 1) / m
-        g["mu"], g["mub"], g["lv"], g["lvb"] = c["top"].T @ dmu, dmu.sum(0), c["top"].T @ dlv, dlv.sum(0)
-        d = dmu @ p["mu"].T + dlv @ p["lv"].T
-        for i in reversed(range(n)):
-            d = d * _slope(c[f"ez{i}"])
-            g[f"e{i}"], g[f"eb{i}"] = c[f"ei{i}"].T @ d, d.sum(0)
-            d = d @ p[f"e{i}"].T
-        opt.step(g)
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((self._forward(x)[0] - x) ** 2).mean(1) if len(x) else np.empty(0)
-
-    def latents(self, x: np.ndarray) -> np.ndarray:
-        return self._forward(x)[1]["mu"]
-
-
-@dataclass
-class DeepSvdd:
-    """A bias-free encoder, pre-trained as an autoencoder, then drawn to a centre; raw is the
-    squared distance to it."""
-
-    hidden: int = 64
-    latent: int = 16
-    pretrain: int = 50
-    epochs: int = 50
-    batch: int = 256
-    rate: float = 1e-3
-    seed: int = 42
-    p: dict[str, np.ndarray] = field(default_factory=dict)
-    centre: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-    def _encode(self, x):
-        a = x @ self.p["w0"]
-        b = _act(a) @ self.p["w1"]
-        return _act(b) @ self.p["w2"], a, b
-
-    def _back(self, x, a, b, d):
-        g = {"w2": _act(b).T @ d}
-        d = (d @ self.p["w2"].T) * _slope(b)
-        g["w1"] = _act(a).T @ d
-        g["w0"] = x.T @ ((d @ self.p["w1"].T) * _slope(a))
-        return g
-
-    def fit(self, x: np.ndarray) -> "DeepSvdd":
-        rng = np.random.default_rng(self.seed)
-        init = lambda a, b: rng.normal(0, math.sqrt(2 / a), (a, b))
-        self.p = {"w0": init(x.shape[1], self.hidden), "w1": init(self.hidden, self.hidden), "w2": init(self.hidden, self.latent), "o0": init(self.latent, self.hidden), "o1": init(self.hidden, x.shape[1])}
-        opt = _Adam(self.p, self.rate)
-        for _ in range(self.pretrain):
-            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // self.batch)):
-                b = x[at]
-                z, a0, a1 = self._encode(b)
-                h = z @ self.p["o0"]
-                y = _act(h) @ self.p["o1"]
-                d = 2 * (y - b) / b.size
-                g = {"o1": _act(h).T @ d}
-                d = (d @ self.p["o1"].T) * _slope(h)
-                g["o0"] = z.T @ d
-                opt.step(g | self._back(b, a0, a1, d @ self.p["o0"].T))
-        c = self._encode(x)[0].mean(0)
-        self.centre = np.where(np.abs(c) < 0.1, np.where(c < 0, -0.1, 0.1), c)
-        self.p = {k: self.p[k] for k in ("w0", "w1", "w2")}
-        opt = _Adam(self.p, self.rate)
-        for _ in range(self.epochs):
-            for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // self.batch)):
-                z, a0, a1 = self._encode(x[at])
-                opt.step(self._back(x[at], a0, a1, 2 * (z - self.centre) / len(at)))
-        return self
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((self._encode(x)[0] - self.centre) ** 2).sum(1) if len(x) else np.empty(0)
+FITTED = {"iforest": IsolationForest, "vae": VariationalAutoencoder, "svdd": DeepSvdd}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def unpivot(rows: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
     return rows.unpivot(list(ids), list(features), "feature", "x")
@@ -14,10 +16,11 @@ def unpivot(rows: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
 
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """feature, place, center (median) and scale (interquartile range, 1 where that is 0)."""
-    q = train.agg(*[F.percentile(f"`{c}`", [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(features)])
-    one = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("place"), F.col(f"q{i}")[1].alias("center"), (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]).alias("iqr")) for i, c in enumerate(features)])
-    flat = q.select(F.inline(one))
-    return flat.select("feature", "place", "center", F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr")).alias("scale"))
+    spark = train.sparkSession
+    order = spark.createDataFrame(list(enumerate(features)), "place int, feature string")
+    q = ranks.percentiles(unpivot(train, [], features), ["feature"], "x", [0.25, 0.5, 0.75])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    return q.join(order, "feature").select("feature", "place", F.col("q")[1].alias("center"), F.when(iqr == 0, 1.0).otherwise(iqr).alias("scale"))
 
 
 def scale(rows: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -31,13 +34,11 @@ def scale(rows: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFr
 def bounds(scores: DataFrame, by: Sequence[str] = ("model",), low: float = 0.05, high: float = 0.95) -> DataFrame:
     """low and high of each model's raw scores: percentiles of benign rows, all rows if there are
     none, the extremes where the percentiles meet, and a hair more where these do too."""
-    benign = F.when(F.col("y") == 0, F.col("raw"))
-    use = scores.groupBy(*by).agg(
-        F.percentile(benign, [low, high]).alias("pb"), F.min(benign).alias("nb"), F.max(benign).alias("xb"),
-        F.percentile("raw", [low, high]).alias("pa"), F.min("raw").alias("na"), F.max("raw").alias("xa"),
-    )
-    some = F.col("nb").isNotNull()
-    use = use.select(*by, F.when(some, F.col("pb")).otherwise(F.col("pa")).alias("p"), F.coalesce("nb", "na").alias("n"), F.coalesce("xb", "xa").alias("x"))
+    benign = F.col("y") == 0
+    calm = scores.groupBy(*by).agg(F.max(benign.cast("int")).alias("__some"))
+    use = scores.join(calm, list(by)).filter(benign | (F.coalesce("__some", F.lit(0)) == 0))
+    ends = use.groupBy(*by).agg(F.min("raw").alias("n"), F.max("raw").alias("x"))
+    use = ends.join(ranks.percentiles(use, by, "raw", [low, high]).withColumnRenamed("q", "p"), list(by))
     meet, flat = F.col("p")[1] <= F.col("p")[0], F.col("x") <= F.col("n")
     return use.select(*by, F.when(meet, F.col("n")).otherwise(F.col("p")[0]).alias("low"), F.when(meet & flat, F.col("n") + 1e-6).when(meet, F.col("x")).otherwise(F.col("p")[1]).alias("high"))
 

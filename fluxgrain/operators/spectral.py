@@ -29,6 +29,10 @@ def coefficients(n: int, kind: str = "hann") -> list[float]:
     return [0.5 - 0.5 * math.cos(2 * math.pi * j / n) for j in range(n)]
 
 
+#: Windows up to so many bins get their spectra by sums in Catalyst, n/2 + 1 rows a sample; longer ones by FFTs.
+NARROW = 16
+
+
 def long_form(win: DataFrame, channels: Sequence[str]) -> DataFrame:
     """A row for each sample of each channel, non-finite samples 0 and counted."""
     pairs = ", ".join(f"'{c}', `{c}`" for c in channels)
@@ -78,14 +82,14 @@ def feature_names(cfg: Spectral, prefix: str = "") -> list[str]:
     return names + ([f"{prefix}{c}__{d}" for c in cfg.channels for d in ("delta_mean", "delta_std")] if cfg.deltas else [])
 
 
-def feature_matrix(series: DataFrame, cfg: Spectral, size: int | None = None, hop: int | None = None, engine: str = "catalyst") -> DataFrame:
+def feature_matrix(series: DataFrame, cfg: Spectral, size: int | None = None, hop: int | None = None, engine: str = "auto") -> DataFrame:
     """series, win and one column per feature: a row per full window."""
     n, step = size or cfg.window, hop or cfg.hop
     channels = [c for c in cfg.channels if c in series.columns]
     if n < 4 or step < 1:
         raise ValueError("a window has 4 bins at least and moves on by 1 at least")
     win = ts.windows(series, n, step, channels)
-    spectra = (psd if engine == "catalyst" else psd_arrow)(win, channels, n, cfg.window_function)
+    spectra = (psd if engine == "catalyst" or engine == "auto" and n <= NARROW else psd_arrow)(win, channels, n, cfg.window_function)
     long = describe(spectra, n, 1.0 / cfg.bin_seconds, cfg.rolloff)
     names = S.descriptor_names(cfg.rolloff)
     wide = long.groupBy("series", "win").agg(*[F.max(F.when(F.col("channel") == c, F.col(d))).alias(f"{c}__{d}") for c in channels for d in names])
@@ -95,7 +99,7 @@ def feature_matrix(series: DataFrame, cfg: Spectral, size: int | None = None, ho
     return wide.select("series", "win", "*", *missing).select("series", "win", *feature_names(cfg)) if missing else wide.select("series", "win", *feature_names(cfg))
 
 
-def multiscale_matrix(series: DataFrame, cfg: Spectral, engine: str = "catalyst") -> DataFrame:
+def multiscale_matrix(series: DataFrame, cfg: Spectral, engine: str = "auto") -> DataFrame:
     """Fast features beside those of the slow window that a fast one's start falls in; null
     beside those of a series too short for a slow window."""
     fast = feature_matrix(series, cfg, engine=engine)

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def _places(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """place (from 0) and many; windows of all series in time order.
 
-    Windows are few (a row for each hop of a series), so one ordered pass over ids is enough.
+#: Classes of the order by which evaluation windows are permuted.
+TURNS = 10007
+
+
+def _permuted(rows: DataFrame) -> DataFrame:
+    """place (from 0, by a hash class of the window, then series and window) and many.
+
+    Places inside a class run in a window over that class; a table of TURNS rows at most carries
+    what stands before.
     """
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("many"))))
+    turn = F.pmod(F.col("win") * 7919 + 13, F.lit(TURNS))
+    dealt = rows.withColumn("__turn", turn)
+    sized = dealt.groupBy(F.col("__turn").alias("__class")).agg(F.count("*").alias("__n"))
+    up_to = Window.orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)
+    before = sized.select("__class", F.coalesce(F.sum("__n").over(up_to), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("many"))
+    inside = F.row_number().over(Window.partitionBy("__turn").orderBy("series", "win"))
+    return dealt.withColumn("place", inside - 1).join(before, F.col("__turn") == F.col("__class")).withColumn("place", F.col("place") + F.col("__before")).drop("__turn", "__class", "__before")
 
 
 def day_split(train: DataFrame, evaluation: DataFrame, share: float = 0.30, seed: int | None = None) -> DataFrame:
@@ -22,15 +35,15 @@ def day_split(train: DataFrame, evaluation: DataFrame, share: float = 0.30, seed
     The permutation is by a hash of the window, or numpy's for a seed (small tables only).
     Columns: series, win, y, label, split.
     """
-    b = _places(train.filter("y = 0"), [F.col("series"), F.col("win")])
+    b = ranks.places(train.filter("y = 0"), "win")
     hold = F.greatest(F.lit(2), F.floor(F.col("many") * share))
     after = F.col("place") - (F.col("many") - hold)
     half = F.greatest(F.lit(1), F.floor(hold / 2))
     benign = b.withColumn("split", F.when(after < 0, "train").when(after < half, "val").otherwise("test"))
     if seed is None:
-        a = _places(evaluation, [F.pmod(F.col("win") * 7919 + 13, F.lit(10007)), F.col("series"), F.col("win")])
+        a = _permuted(evaluation)
     else:
-        a = _places(evaluation, [F.col("series"), F.col("win")])
+        a = ranks.places(evaluation, "win")
         n = evaluation.count()
         order = np.empty(n, int)
         order[np.random.RandomState(seed).permutation(n)] = np.arange(n)

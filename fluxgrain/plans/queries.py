@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..config import Spectral
 from ..functions.spectral import descriptor_names
-from ..operators import detectors, ensemble, labels, metrics, scaling, spectral, splits, timeseries
+from ..operators import detectors, ensemble, labels, metrics, ranks, scaling, spectral, splits, timeseries
 from ..sources import flows as src
+from ..sources.scratch import keep
 from . import pipeline
 
 HOUR, W, HOP, SLOW = 3600, 8, 4, 32
 CFG = Spectral(bin_seconds=HOUR, window=W, overlap=W - HOP, slow_window=SLOW, slow_overlap=0)
 CH = list(CFG.channels)
+ALL = ["flow_count", *CH]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -52,7 +54,7 @@ def _log_series(spark, sf):
 
 
 def _win(spark, sf):
-    return timeseries.windows(_log_series(spark, sf), W, HOP, CH)
+    return timeseries.windows(_log_series(spark, sf), W, HOP, ALL)
 
 
 def _r(c: str, digits: int = 6):
@@ -64,7 +66,7 @@ def _rs(c: str, digits: int = 6) -> str:
 
 
 K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
-FLOWS = f"""flows AS (SELECT event_id, ts, value AS total_bytes, {K} AS total_packets, CAST(user_id AS DOUBLE) AS duration,
+FLOWS = f"""flows AS (SELECT event_id, ts, value AS total_bytes, {K} AS total_packets, CAST(user_id AS DOUBLE) / 1000 AS duration,
   CASE WHEN event_type IN ('error', 'signup') OR (event_type = 'purchase' AND {K} < 50) THEN upper(event_type) ELSE 'BENIGN' END AS label,
   strftime(ts, '%Y-%m-%d') AS day FROM events)"""
 
@@ -80,7 +82,7 @@ bins AS (SELECT g.bin - lo AS bin_idx, coalesce(flow_count, 0.0) AS flow_count,
 
 
 BINS = _bins_sql()
-LOGS = BINS + ",\nlogs AS (SELECT bin_idx, flow_count, ln(1 + greatest(total_bytes, 0)) AS total_bytes, ln(1 + greatest(total_packets, 0)) AS total_packets FROM bins)"
+LOGS = BINS + ",\nlogs AS (SELECT bin_idx, flow_count, ln(1 + greatest(total_bytes, 0)) AS total_bytes, ln(1 + greatest(total_packets, 0)) AS total_packets, mean_duration FROM bins)"
 
 
 def _win_sql(source: str, size: int = W, hop: int = HOP, name: str = "win") -> str:
@@ -209,9 +211,9 @@ def sort_time_head(spark, sf):
 # series and windows
 
 
-@query(f"WITH {BINS} SELECT bin_idx, flow_count, {_rs('total_bytes')}, {_rs('total_packets')}, {_rs('mean_duration')} FROM bins")
+@query(f"WITH {BINS} SELECT bin_idx, flow_count, {_rs('total_bytes')}, {_rs('total_packets')}, {_rs('mean_duration', 10)} FROM bins")
 def bin_series(spark, sf):
-    return _series(spark, sf).select("bin_idx", "flow_count", _r("total_bytes"), _r("total_packets"), _r("mean_duration"))
+    return _series(spark, sf).select("bin_idx", "flow_count", _r("total_bytes"), _r("total_packets"), _r("mean_duration", 10))
 
 
 @query(f"WITH {_bins_sql(25_000)} SELECT bin_idx, flow_count, {_rs('total_bytes')} FROM bins")
@@ -358,14 +360,15 @@ def multiscale_asof(spark, sf):
 
 # joins of flows with windows
 
-_POOL = f"""WITH {FLOWS}, s AS (SELECT win AS id, date_trunc('day', (SELECT min(ts) FROM flows)) + INTERVAL 1 SECOND * (win * 50000 + 77) AS start FROM range(0, 40) r(win))
+_POOL = f"""WITH {FLOWS}, s AS (SELECT win AS id, date_trunc('day', (SELECT min(ts) FROM flows)) + INTERVAL 1 SECOND * (win * 50000 + 77) AS start FROM (SELECT unnest(range(0, 1 + (epoch_us(max(ts)) - epoch_us(date_trunc('day', min(ts)))) // 50000000000)) AS win FROM flows))
 SELECT id, coalesce(max(total_bytes), 0.0) AS pooled_max, round(coalesce(avg(total_bytes), 0.0), 6) AS pooled_mean, count(total_bytes) AS n FROM s LEFT JOIN flows f ON f.ts >= s.start AND f.ts {{op}} s.start + INTERVAL 90000 SECOND GROUP BY id"""
 
 
 def _pool(spark, sf, inclusive):
     f = _flows(spark, sf)
-    first = f.agg(F.date_trunc("day", F.min("ts").cast("timestamp")).alias("first"))
-    starts = spark.range(40).crossJoin(F.broadcast(first)).select("id", F.timestamp_micros(F.unix_micros("first") + (F.col("id") * 50_000 + 77) * 1_000_000).cast("timestamp_ntz").alias("start"))
+    span = f.agg(F.date_trunc("day", F.min("ts").cast("timestamp")).alias("first"), F.max("ts").cast("timestamp").alias("last"))
+    ids = F.sequence(F.lit(0).cast("long"), F.floor((F.unix_micros("last") - F.unix_micros("first")) / 50_000_000_000).cast("long"))
+    starts = span.select("first", F.explode(ids).alias("id")).select("id", F.timestamp_micros(F.unix_micros("first") + (F.col("id") * 50_000 + 77) * 1_000_000).cast("timestamp_ntz").alias("start"))
     return timeseries.pool_interval(f, starts, "ts", "total_bytes", 90_000, inclusive).select("id", "pooled_max", _r("pooled_mean"), "n")
 
 
@@ -383,14 +386,14 @@ def raw_window_features(spark, sf):
 
 FEATS = ["f_count", "f_bytes", "f_packets"]
 WF = f"""{_wlab_sql('majority')},
-logs AS (SELECT bin_idx, flow_count, ln(1 + greatest(total_bytes, 0)) AS total_bytes, ln(1 + greatest(total_packets, 0)) AS total_packets FROM bins),
+logs AS (SELECT bin_idx, flow_count, ln(1 + greatest(total_bytes, 0)) AS total_bytes, ln(1 + greatest(total_packets, 0)) AS total_packets, mean_duration FROM bins),
 {_win_sql('logs')},
 wf AS (SELECT w.win, round(avg(flow_count), 6) AS f_count, round(avg(total_bytes), 6) AS f_bytes, round(avg(total_packets), 6) AS f_packets, any_value(y) AS y, any_value(label) AS label FROM win w JOIN wl ON w.win = wl.win GROUP BY w.win)"""
 
 
 def _wf(spark, sf):
-    f = _win(spark, sf).groupBy("series", "win").agg(*[F.round(F.avg(c), 6).alias(n) for n, c in zip(FEATS, CH)])
-    return f.join(_wlab(spark, sf), ["series", "win"])
+    f = _win(spark, sf).groupBy("series", "win").agg(*[F.round(F.avg(c), 6).alias(n) for n, c in zip(FEATS, ALL)])
+    return keep(f.join(_wlab(spark, sf), ["series", "win"]), "wf")  # used several times by most queries
 
 
 SPLIT = f"""{WF},
@@ -483,7 +486,7 @@ def _models(spark, sf):
     w = _wf(spark, sf)
     ids = ["series", "win"]
     e, c = (detectors.tail_scores(w, ids, FEATS, k).withColumn("model", F.lit(k)) for k in ("ecod", "copod"))
-    return w.select(*ids, "y", "label").join(e.unionByName(c), ids)
+    return keep(w.select(*ids, "y", "label").join(e.unionByName(c), ids), "models")
 
 
 def _models_sql() -> str:
@@ -588,8 +591,8 @@ def threshold_percentile(spark, sf):
     return metrics.threshold(_scored(spark, sf), "percentile", ["day"]).select("day", _r("threshold"), _r("value"))
 
 
-@query(f"""WITH {SCORES}, {_auc_sql('scored', '')}, z AS (SELECT score, p, n, lead(p) OVER (ORDER BY score DESC) AS np, lead(n) OVER (ORDER BY score DESC) AS nn, fp / tot_n AS fpr, tp / tot_p AS tpr FROM cv)
-SELECT score AS threshold, round(tpr, 6) AS value FROM z WHERE (np IS NULL OR np <> p OR nn <> n) AND fpr <= 0.1 ORDER BY score LIMIT 1""")
+@query(f"""WITH {SCORES}, {_auc_sql('scored', '')}, z AS (SELECT score, p, n, lead(p) OVER (ORDER BY score DESC) AS np, lead(n) OVER (ORDER BY score DESC) AS nn, row_number() OVER (ORDER BY score DESC) AS nr, fp / tot_n AS fpr, tp / tot_p AS tpr FROM cv)
+SELECT score AS threshold, round(tpr, 6) AS value FROM z WHERE (nr = 1 OR np IS NULL OR np <> p OR nn <> n) AND fpr <= 0.1 ORDER BY score LIMIT 1""")
 def threshold_fpr(spark, sf):
     return metrics.threshold(_scored(spark, sf), "fpr_0.10").select("threshold", _r("value"))
 
@@ -629,8 +632,10 @@ def score_histogram(spark, sf):
 
 @query(f"WITH {FLOWS} SELECT label, round(quantile_cont(total_bytes, 0.05), 6) AS p5, round(quantile_cont(total_bytes, 0.5), 6) AS p50, round(quantile_cont(total_bytes, 0.95), 6) AS p95, round(avg(total_bytes), 6) AS mean FROM flows GROUP BY label")
 def percentiles(spark, sf):
-    q = F.percentile("total_bytes", [0.05, 0.5, 0.95])
-    return _flows(spark, sf).groupBy("label").agg(q.alias("q"), F.round(F.avg("total_bytes"), 6).alias("mean")).select("label", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))], "mean")
+    f = _flows(spark, sf)
+    q = ranks.percentiles(f, ["label"], "total_bytes", [0.05, 0.5, 0.95])
+    mean = f.groupBy("label").agg(F.round(F.avg("total_bytes"), 6).alias("mean"))
+    return q.join(mean, "label").select("label", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))], "mean")
 
 
 # without a form in SQL
@@ -644,17 +649,17 @@ def _fitted(spark, sf, model):
 
 @query()
 def iforest(spark, sf):
-    return _fitted(spark, sf, detectors.IsolationForest(trees=100))
+    return _fitted(spark, sf, detectors.IsolationForest())
 
 
 @query()
 def vae(spark, sf):
-    return _fitted(spark, sf, detectors.VariationalAutoencoder(hidden=(32, 16), latent=2, batch=32))
+    return _fitted(spark, sf, detectors.VariationalAutoencoder())
 
 
 @query()
 def deep_svdd(spark, sf):
-    return _fitted(spark, sf, detectors.DeepSvdd(hidden=16, latent=4, batch=32))
+    return _fitted(spark, sf, detectors.DeepSvdd())
 
 
 @query()

@@ -38,6 +38,43 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.fspath(path))
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file was last written, in milliseconds; that of a folder's success mark, if it has one."""
+    p, fs = _hadoop(spark, path)
+    mark, _ = _hadoop(spark, f"{os.fspath(path)}/_SUCCESS")
+    return fs.getFileStatus(mark if fs.exists(mark) else p).getModificationTime()
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a pattern matches, in order of their names."""
+    p, fs = _hadoop(spark, pattern)
+    return sorted(str(f.getPath().toString()) for f in fs.globStatus(p) or [])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever store the path names."""
+    p, fs = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(os.fspath(path), wholetext=True).first()["value"]
+
+
 def save_json(value: Mapping, path: str) -> None:
     with open(path, "w") as f:
         json.dump(value, f, indent=2, sort_keys=True)
@@ -51,6 +88,16 @@ def load_tuned(path: str) -> dict | None:
         return None
 
 
+def load_config(path: str) -> dict:
+    """Settings from YAML; JSON where the YAML reader is not installed."""
+    with open(path) as f:
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            return json.load(f)
+        return yaml.safe_load(f) or {}
+
+
 def merge_tuned(config: Mapping, tuned: Mapping | None) -> dict:
     """A deep copy of config with the tuned weights, model settings and flow section over it."""
     out = copy.deepcopy(dict(config))

@@ -1,5 +1,6 @@
 """Each query against its SQL on the smallest tables."""
 
+import numpy as np
 import pytest
 
 from fluxgrain.plans import queries as Q
@@ -20,7 +21,10 @@ def test_query_equals_sql(spark, duck, name):
     got, want = got[cols].sort_values(cols).reset_index(drop=True), want[cols].sort_values(cols).reset_index(drop=True)
     assert len(got) == len(want)
     for c in cols:
-        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
+        if got[c].dtype.kind == "f":  # the engines may round the last digit of a quotient differently
+            np.testing.assert_allclose(got[c].to_numpy(), want[c].to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=c)
+        else:
+            assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
 
 
 def test_every_sql_has_a_query():
