@@ -147,26 +147,33 @@ class Model:
             return self
         ids: dict[str, int] = {}
         streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in _TOKEN.findall(t)), np.int32) for t in texts]
-        of_word = [features(w) for w in ids]
         half = np.arange(len(texts)) % 3 < 2  # trains the chain; the rest fits the document score
         half[0] = half[-1] = True
         if labels[half].all() or not labels[half].any() or labels[~half].all() or not labels[~half].any():
             half[:] = True
-        seen: dict[str, list[int]] = {}
+        # features as numbers, all words' in a row: lists of them would take the driver's memory
+        number: dict[str, int] = {}
+        flat_f, ends = array("i"), array("i", [0])
+        for w in ids:
+            flat_f.extend(number.setdefault(f, len(number)) for f in features(w))
+            ends.append(len(flat_f))
+        of, ends = np.frombuffer(flat_f, np.int32), np.frombuffer(ends, np.int32)
+        seen = np.zeros((2, len(number)), np.int32)
         for k in np.nonzero(half)[0].tolist():
-            for f in {f for w in np.unique(streams[k]).tolist() for f in of_word[w]}:
-                seen.setdefault(f, [0, 0])[int(labels[k])] += 1
+            if len(streams[k]):
+                words = np.unique(streams[k]).tolist()
+                seen[int(labels[k]), np.unique(np.concatenate([of[ends[w] : ends[w + 1]] for w in words]))] += 1
         many = [max(1, int((half & ~labels).sum())), max(1, int((half & labels).sum()))]
         support = max(2, min(SUPPORT, many[1] // 20))
-        marks = {f for f, (c, t) in seen.items() if t >= support and c / many[0] <= CLEAN_SHARE * t / many[1]}
-        index = {f: i for i, f in enumerate(sorted(f for f, (c, t) in seen.items() if c + t >= support))}
-        marked = np.array([any(f in marks for f in fs) for fs in of_word], bool)
-        links = array("i")  # word, feature, word, feature ...: tuples would take the driver's memory
-        for w, fs in enumerate(of_word):
-            for f in fs:
-                if f in index:
-                    links.extend((w, index[f]))
-        rows, cols = np.array(links, np.int32).reshape(-1, 2).T.copy()
+        marks = (seen[1] >= support) & (seen[0] / many[0] <= CLEAN_SHARE * seen[1] / many[1])
+        known = seen.sum(0) >= support
+        names = sorted(f for f, i in number.items() if known[i])
+        place = np.full(len(number), -1, np.int32)
+        place[[number[f] for f in names]] = np.arange(len(names))
+        del number
+        word = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(ends))
+        marked = np.bincount(word, marks[of], len(ids)) > 0
+        rows, cols = word[known[of]], place[of[known[of]]]
         chosen = [k for k in np.nonzero(half)[0].tolist() if len(streams[k])]
         if not chosen:  # no words at all: the share of toxic documents is all there is to say
             self.logit[0] = math.log(max(labels.mean(), 1e-9) / max((1 - labels.mean()) * ratio, 1e-9))
@@ -176,8 +183,8 @@ class Model:
         starts[np.cumsum([0, *(len(streams[k]) for k in chosen[:-1])])] = True
         y = marked[flat] & np.repeat(labels[chosen], [len(streams[k]) for k in chosen])
         vocabulary = len(ids)
-        del streams, ids, of_word, seen, links
-        self._train(flat, starts, y, rows, cols, vocabulary, sorted(index), ROUNDS)
+        del streams, ids, seen, of, flat_f, ends, word
+        self._train(flat, starts, y, rows, cols, vocabulary, names, ROUNDS)
         rest = np.nonzero(~half if not half.all() else half)[0]
         x = self.summaries([texts[k].encode() for k in rest])[0]
         self._logistic(x, labels[rest], np.where(labels[rest], 1.0, ratio))
