@@ -638,6 +638,65 @@ def percentiles(spark, sf):
     return q.join(mean, "label").select("label", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))], "mean")
 
 
+_HALVES = f"""{FLOWS}, sc AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, (label <> 'BENIGN')::INTEGER AS y, round(total_bytes) AS score FROM flows),
+v AS (SELECT y, score FROM sc WHERE split = 'val'), {_auc_sql('v', '')},
+th AS (SELECT 'f1' AS threshold_method, score AS t FROM cv QUALIFY row_number() OVER (ORDER BY {_F1} DESC, score DESC) = 1
+  UNION ALL SELECT 'youden_j', score FROM (SELECT score, tp / tot_p - fp / tot_n AS j FROM cv) QUALIFY row_number() OVER (ORDER BY j DESC, score DESC) = 1
+  UNION ALL SELECT 'percentile_95', quantile_cont(score, 0.95) FROM v),
+c AS (SELECT threshold_method, t, sum((score < t AND y = 0)::INTEGER)::BIGINT AS tn, sum((score >= t AND y = 0)::INTEGER)::BIGINT AS fp, sum((score < t AND y = 1)::INTEGER)::BIGINT AS fn, sum((score >= t AND y = 1)::INTEGER)::BIGINT AS tp
+  FROM sc JOIN th ON split = 'test' GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_HALVES} SELECT threshold_method, round(t, 6) AS threshold, tn, fp, fn, tp, {_RATES} FROM c")
+def threshold_methods(spark, sf):
+    rows = _flows(spark, sf).select(F.when(F.col("event_id") % 2 == 0, "val").otherwise("test").alias("split"), F.lit("bytes").alias("model"), (F.col("label") != "BENIGN").cast("int").alias("y"), F.round("total_bytes").alias("score"))
+    made = pipeline.evaluate_methods(keep(rows, "halves"), ("f1", "youden_j", "percentile_95"), "bytes")
+    return made.select("threshold_method", _r("threshold"), "tn", "fp", "fn", "tp", *[_r(c) for c in ("precision", "recall", "f1", "fpr", "fnr")])
+
+
+@query(f"WITH {FLOWS} SELECT label, count(*) AS n, round(avg(total_bytes), 6) AS mean, round(stddev_samp(total_bytes), 6) AS stddev, min(total_bytes) AS low, max(total_bytes) AS high FROM flows GROUP BY label")
+def describe_flows(spark, sf):
+    x = "total_bytes"
+    return _flows(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev(x), 6).alias("stddev"), F.min(x).alias("low"), F.max(x).alias("high"))
+
+
+@query(f"WITH {FLOWS} SELECT day, count(DISTINCT label) AS labels, count(DISTINCT duration) AS users FROM flows GROUP BY day")
+def distinct_per_day(spark, sf):
+    return _flows(spark, sf).groupBy("day").agg(F.count_distinct("label").alias("labels"), F.count_distinct("duration").alias("users"))
+
+
+@query(f"WITH {FLOWS} SELECT event_id, label FROM flows WHERE day IN (SELECT day FROM flows WHERE label = 'SIGNUP' GROUP BY day HAVING count(*) >= 3)")
+def semi_join_days(spark, sf):
+    f = _flows(spark, sf)
+    busy = f.filter("label = 'SIGNUP'").groupBy("day").count().filter("count >= 3")
+    return f.join(busy, "day", "left_semi").select("event_id", "label")
+
+
+@query(f"WITH {FLOWS}, d AS (SELECT min(day) AS first FROM flows) SELECT day = first AS train, count(*) AS n, round(sum(total_bytes), 6) AS total FROM flows, d GROUP BY 1")
+def day_against_rest(spark, sf):
+    f = _flows(spark, sf)
+    first = f.agg(F.min("day")).first()[0]
+    parts = src.day_against_rest(f, first)
+    both = parts[0].withColumn("train", F.lit(True)).unionByName(parts[1].withColumn("train", F.lit(False)))
+    return both.groupBy("train").agg(F.count("*").alias("n"), F.round(F.sum("total_bytes"), 6).alias("total"))
+
+
+@query("SELECT event_id, CASE WHEN value = 0 OR event_id % 7 = 0 THEN 0.0 ELSE value END AS x FROM events")
+def finite_or_zero(spark, sf):
+    odd = F.when(F.col("event_id") % 21 == 0, float("nan")).when(F.col("event_id") % 14 == 0, float("inf")).when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value"))
+    return src.finite_or_zero(_t(spark, sf, "events").select("event_id", odd.alias("x")), ["x"])
+
+
+@query(f"WITH {FLOWS}, d AS (SELECT label, round(total_bytes) AS x, count(*) AS c FROM flows GROUP BY 1, 2) SELECT label, x, c, sum(c) OVER (PARTITION BY label ORDER BY x)::BIGINT AS run_c, sum(c) OVER (PARTITION BY label)::BIGINT AS all_c FROM d")
+def running_counts(spark, sf):
+    return ranks.counted(_flows(spark, sf).select("label", F.round("total_bytes").alias("x")), ["label"], "x")
+
+
+@query("SELECT l_linenumber AS series, l_orderkey AS win, row_number() OVER (ORDER BY l_linenumber, l_orderkey) - 1 AS place, count(*) OVER () AS many FROM (SELECT DISTINCT l_linenumber, l_orderkey FROM lineitem)")
+def places(spark, sf):
+    return ranks.places(_t(spark, sf, "lineitem").select(F.col("l_linenumber").alias("series"), F.col("l_orderkey").alias("win")).distinct(), "win")
+
+
 # without a form in SQL
 
 

@@ -10,6 +10,7 @@ FAST = [
     "clean_labels", "clean_infinite", "clean_timestamps", "clean_day_tag", "clean_synthetic_timeline", "label_codes", "label_counts", "bin_series", "bin_series_odd_width",
     "bin_labels", "window_labels_any", "win_hopping", "win_deltas", "psd_catalyst", "psd_arrow", "spectral_descriptors", "flow_window_pool", "raw_window_features",
     "metric_auc", "metric_roc", "threshold_f1", "threshold_fpr", "threshold_percentile", "metric_evaluate", "per_class",
+    "threshold_methods", "describe_flows", "distinct_per_day", "semi_join_days", "day_against_rest", "finite_or_zero", "running_counts", "places",
 ]
 
 
