@@ -66,7 +66,7 @@ def _rs(c: str, digits: int = 6) -> str:
 
 
 K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
-FLOWS = f"""flows AS (SELECT event_id, ts, value AS total_bytes, {K} AS total_packets, CAST(user_id AS DOUBLE) / 1000 AS duration,
+FLOWS = f"""flows AS (SELECT event_id, ts, value AS total_bytes, {K} AS total_packets, CAST(user_id AS DOUBLE) / 997 AS duration,
   CASE WHEN event_type IN ('error', 'signup') OR (event_type = 'purchase' AND {K} < 50) THEN upper(event_type) ELSE 'BENIGN' END AS label,
   strftime(ts, '%Y-%m-%d') AS day FROM events)"""
 
@@ -421,9 +421,9 @@ def split_summary(spark, sf):
 _QUANT = " UNION ALL ".join(f"SELECT '{f}' AS feature, {i} AS place, quantile_cont({f}, 0.5) AS center, quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25) AS iqr FROM wf WHERE y = 0" for i, f in enumerate(FEATS))
 
 
-@query(f"WITH {WF}, q AS ({_QUANT}) SELECT feature, place, round(center, 6) AS center, round(CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS scale FROM q")
+@query(f"WITH {WF}, q AS ({_QUANT}) SELECT feature, place, round(center, 9) AS center, round(CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 9) AS scale FROM q")
 def scale_fit(spark, sf):
-    return scaling.fit_scaler(_wf(spark, sf).filter("y = 0"), FEATS).select("feature", "place", _r("center"), _r("scale"))
+    return scaling.fit_scaler(_wf(spark, sf).filter("y = 0"), FEATS).select("feature", "place", _r("center", 9), _r("scale", 9))
 
 
 @query(f"WITH {WF}, q AS ({_QUANT}) SELECT win, " + ", ".join(f"round(({f} - (SELECT center FROM q WHERE feature = '{f}')) / (SELECT CASE WHEN iqr = 0 THEN 1 ELSE iqr END FROM q WHERE feature = '{f}'), 6) + 0.0 AS {f}" for f in FEATS) + " FROM wf")

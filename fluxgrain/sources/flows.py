@@ -258,11 +258,15 @@ def as_flows(df: DataFrame) -> DataFrame:
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """The flow view of an event table: bytes, packets, duration, label, calendar day."""
+    """The flow view of an event table: bytes, packets, duration, label, calendar day.
+
+    Durations are user numbers over a prime, so that no mean of them lies half-way between two
+    decimals, where the order of additions would decide how it is rounded.
+    """
     k = F.get_json_object("props", "$.k").cast("double")
     bad = F.col("event_type").isin("error", "signup") | ((F.col("event_type") == "purchase") & (k < 50))
     return events.select(
-        "event_id", "ts", F.col("value").alias("total_bytes"), k.alias("total_packets"), (F.col("user_id").cast("double") / 1000).alias("duration"),
+        "event_id", "ts", F.col("value").alias("total_bytes"), k.alias("total_packets"), (F.col("user_id").cast("double") / 997).alias("duration"),
         F.when(bad, F.upper("event_type")).otherwise(F.lit(BENIGN)).alias("label"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
     )
 
