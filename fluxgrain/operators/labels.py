@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import ATTACK, BENIGN
 from . import timeseries as ts
 
+#: A mean this close below a share reaches it.
+TIE = 1e-9
+
 
 def bin_labels(flows: DataFrame, at: str, seconds: int, label: str = "label", order: str = "event_id", series: str | None = None) -> DataFrame:
     """attack_count, flow_count, attack_fraction and dominant_attack of each dense bin.
@@ -31,13 +34,14 @@ def bin_labels(flows: DataFrame, at: str, seconds: int, label: str = "label", or
 def window_labels(bins: DataFrame, size: int, hop: int, rule: str = "majority", share: float = 0.5) -> DataFrame:
     """series, win, y and label of each full window.
 
-    any: one attack in it; majority: the mean of its bins' attack fractions reaches the share.
+    any: one attack in it; majority: the mean of its bins' attack fractions reaches the share (to
+    TIE, so that the order of additions doesn't decide).
     The label is the attack that dominates most bins, the least of equals; ATTACK if none does.
     """
     if rule not in ("any", "majority"):
         raise ValueError("the rule is any or majority")
     win = ts.windows(bins, size, hop, ["attack_count", "attack_fraction", "dominant_attack"])
-    hit = (F.max("attack_count") > 0) | (F.max("attack_fraction") > 0) if rule == "any" else F.avg("attack_fraction") >= share
+    hit = (F.max("attack_count") > 0) | (F.max("attack_fraction") > 0) if rule == "any" else F.avg("attack_fraction") >= share - TIE
     y = win.groupBy("series", "win").agg(hit.cast("int").alias("y"))
     named = win.filter((F.col("attack_count") > 0) & (F.col("dominant_attack") != BENIGN)).groupBy("series", "win", "dominant_attack").count()
     top = named.groupBy("series", "win").agg(F.max("count").alias("count"))

@@ -247,7 +247,7 @@ def bin_labels(spark, sf):
 
 
 def _wlab_sql(rule: str) -> str:
-    hit = "max(attack_count) > 0" if rule == "any" else "avg(attack_fraction) >= 0.5"
+    hit = "max(attack_count) > 0" if rule == "any" else "avg(attack_fraction) >= 0.499999999"
     return f"""{LABELS},
 {_win_sql('binlab', name='lw')},
 wy AS (SELECT win, ({hit})::INTEGER AS y FROM lw GROUP BY win),
