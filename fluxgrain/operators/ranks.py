@@ -30,13 +30,14 @@ def running(points: DataFrame, keys: Sequence[str], x: str, sums: Sequence[str],
     """points with, for each c of sums, run_c (over the values up to the row's own, itself
     included) and all_c (over the group).
 
-    points has one row per (keys, x) and is written once to the shared folder; descending runs
+    points has one row per (keys, x); it and the cuts are written once to the shared folder; descending runs
     from the greatest value down.  Null values of x come first, as in an ascending sort (last,
     descending).
     """
     points = keep(points, "points")
     many = max(2, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = points.groupBy(*keys).agg(F.percentile_approx(x, [i / many for i in range(1, many)], 1000).alias("__cuts"))
+    # written once as well: an approximate percentile may come out differently when it is asked again
+    cuts = keep(points.groupBy(*keys).agg(F.percentile_approx(x, [i / many for i in range(1, many)], 1000).alias("__cuts")), "cuts")
     cell = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(x))), F.lit(-1))
     cut = _with(points, cuts, keys).withColumn("__cell", F.when(F.col(x).isNull(), F.lit(-1)).otherwise(cell)).drop("__cuts")
     cells = cut.groupBy(*keys, "__cell").agg(*[F.sum(c).alias(f"__in_{c}") for c in sums])
