@@ -36,7 +36,7 @@ SAMPLE, ROUNDS = 1500, 40
 SUPPORT, CLEAN_SHARE = 5, 0.05
 #: Beginnings of words that are features; score from which a document is toxic; of a span.
 PREFIXES, THRESHOLD, SPAN = range(3, 9), 0.7, 0.5
-L2, ROW, KEPT = 1.0, 128, 400_000
+L2, ROW, KEPT = 1.0, 128, 250_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
 
