@@ -11,7 +11,8 @@ interval whose occurrences differ in the byte before them cannot be extended to
 maximal repeat and is given with all its occurrences.  All but the earliest are removed.
 
 Buckets of very many different blocks (a short phrase in ever new surroundings) are dealt out
-again by the hash of each whole window.  Equal windows are combined to their earliest place, first
+again by the hashes of each whole window, 128 bits as for blocks: windows of one length need no
+suffix array, only their earliest place, and their bytes need not move.  They are combined first
 within a batch and then in the stream that a worker scans, so that neither a bucket nor a phrase
 that a third of all documents share has to fit a worker's memory.
 
@@ -42,6 +43,7 @@ PLACES = 1 << 24
 _U = np.uint64
 _BYTE = seeds(256, 5)
 _B = _U(0x9E3779B97F4A7C15)
+_OTHER, _C = seeds(256, 6), _U(0xD1342543DE82EF95)
 _POWERS = {}
 
 
@@ -213,34 +215,65 @@ def _table(names, rows):
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
 
-SEGMENTS = "key long, doc long, at long, bytes binary"
+SEGMENTS = "key long, body long, doc long, at long, span long, bytes binary"
+
+
+def _window_hashes(flat: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
+    """Two hashes of the windows of flat that begin at starts."""
+    out = []
+    with np.errstate(over="ignore"):
+        for table, base in ((_BYTE, int(_B)), (_OTHER, int(_C))):
+            power = np.multiply.accumulate(np.r_[_U(1), np.full(len(flat), _U(base))])
+            back = np.multiply.accumulate(np.r_[_U(1), np.full(len(flat), _U(pow(base, -1, 1 << 64)))])
+            total = np.r_[_U(0), np.add.accumulate(table[flat] * power[:-1])]
+            out.append(mix64((total[starts + width] - total[starts]) * back[starts]))
+    return out
 
 
 def _cut(batches):
-    """The bytes of the blocks that a document has to bring to its buckets; without bytes, a window
-    that stands earlier in the batch."""
+    """What a document has to bring to its buckets: the bytes of its blocks (span 0), or the hashes
+    of their windows (span 1); windows that stand earlier in the batch are ranges to remove (span
+    is their length, negative)."""
     unzip = zstandard.ZstdDecompressor().decompress
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+
+    def windows(pieces):
+        docs, ats, spans, texts = zip(*pieces)
+        spans = np.array(spans, np.int64)
+        begins = np.cumsum(spans) - spans
+        step = np.arange(int(spans.sum())) - np.repeat(begins, spans)  # within a piece
+        starts = step + np.repeat(begins + (WIDTH - 1) * np.arange(len(spans)), spans)
+        doc, at = np.repeat(np.array(docs, np.int64), spans), step + np.repeat(np.array(ats, np.int64), spans)
+        key, body = _window_hashes(np.frombuffer(b"".join(texts), np.uint8), starts)
+        order, first, of = _earliest(key, body, doc, at)
+        key, body, doc, at = key[order], body[order], doc[order], at[order]
+        again = ~first & ((doc != doc[of]) | (at != at[of]))
+        d, s, e = _spans(doc[again], at[again], at[again] + WIDTH)
+        made = _rows(names[:5], *(np.concatenate(p) for p in ((key[first], mix64(d.astype(_U))), (body[first], np.zeros(len(d), _U)), (doc[first], d), (at[first], s), (np.ones(int(first.sum()), np.int64), s - e))))
+        return pa.RecordBatch.from_arrays([*made.columns, pa.nulls(made.num_rows, pa.binary())], names)
+
     for batch in batches:
         rows: list[tuple] = []
-        least: dict[tuple, tuple] = {}  # window -> its earliest place in this batch
+        held, size = [], 0
         for doc, blob, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             text = unzip(blob)
             for w in wanted:
-                at, span = w["at"], w["span"]
+                at, end = w["at"], w["at"] + w["span"]
                 if w["kind"] == 1:
-                    rows.append((w["key"], doc, at, text[at : at + span + WIDTH - 1]))
+                    rows.append((w["key"], 0, doc, at, 0, text[at : end + WIDTH - 1]))
                     continue
-                for p in range(at, at + span):
-                    window, here = (w["key"], text[p : p + WIDTH]), (doc, p)
-                    other = least.setdefault(window, here)
-                    if other != here:
-                        least[window] = min(other, here)
-                        rows.append((doc, *max(other, here), None))
-        for (key, window), (doc, at) in least.items():
-            digest = hashlib.blake2b(window, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest()
-            rows.append((int.from_bytes(digest, "little", signed=True), doc, at, window))
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["key", "doc", "at", "bytes"])
+                while at < end:
+                    span = min(end - at, PIECE // 8)
+                    held.append((doc, at, span, text[at : at + span + WIDTH - 1]))
+                    at, size = at + span, size + span
+                    if size >= PIECE // 8:
+                        yield windows(held)
+                        held, size = [], 0
+        if held:
+            yield windows(held)
+        if rows:
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names)
 
 
 class SuffixArray:
@@ -359,27 +392,55 @@ def _scan(batches):
             d, s, e = _spans(np.concatenate(d), np.concatenate(s), np.concatenate(e))
             yield _rows(["doc", "start", "end"], d, s, e)
 
-    held, size, key, again = [], 0, None, []
-    first = b""  # the key's earliest block, where it is a single window
+    def windows(key, body, doc, at):
+        """Places of windows that stand earlier in the stream; by its hashes a window is told from
+        another that shares the first of them."""
+        nonlocal last, leads
+        order = np.lexsort((np.arange(len(key)), body, key))
+        key, body, doc, at = key[order], body[order], doc[order], at[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])]
+        head = np.nonzero(first)[0]
+        group = np.cumsum(first) - 1
+        docs, ats = doc[head], at[head]
+        for g in range(int((key[head] == last).sum()) if last is not None else 0):  # the first keys are the least
+            docs[g], ats[g] = leads.get(int(body[head[g]]), (docs[g], ats[g]))
+        of = key[head] == key[-1]
+        found = {b: (d, a) for b, d, a in zip(body[head[of]].tolist(), docs[of].tolist(), ats[of].tolist())}
+        leads = leads | found if last == key[-1] else found
+        last = int(key[-1])
+        again = (doc != docs[group]) | (at != ats[group])
+        return doc[again], at[again]
+
+    held, size, key = [], 0, None
+    last, leads = None, {}  # the last window's key and the earliest places of its windows
+    first = b"", None  # the key's earliest block, where it is a single window, and its place
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[3] is None:
-                again.append(row[1:3])
-                continue
+        of = [np.asarray(batch.column(c)) for c in range(5)]
+        span = of[4]
+        if (span < 0).any():
+            yield _rows(["doc", "start", "end"], of[2][span < 0], of[3][span < 0], (of[3] - span)[span < 0])
+        again = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if (span > 0).any():
+            again.append(windows(*(c[span > 0] for c in of[:4])))
+        places = []
+        whole = batch.filter(pa.array(span == 0)) if (span != 0).any() else batch
+        for row in zip(*(whole.column(c).to_pylist() for c in (0, 2, 3, 5))):
             if row[0] != key:
                 if size >= SORTED:
                     yield from settle(held)
                     held, size = [], 0
-                key, first = row[0], row[3] if len(row[3]) == WIDTH else b""
-            elif row[3] == first:
-                again.append(row[1:3])
+                key, first = row[0], (row[3] if len(row[3]) == WIDTH else b"", row[1:3])
+            elif row[3] == first[0]:
+                if row[1:3] != first[1]:
+                    places.append(row[1:3])
                 continue
             held.append(row)
             size += len(row[3])
-        if again:
-            d, s = (np.array(c, np.int64) for c in zip(*again))
+        if places:
+            again.append(tuple(np.array(c, np.int64) for c in zip(*places)))
+        d, s = (np.concatenate(c) for c in zip(*again))
+        if len(d):
             yield _rows(["doc", "start", "end"], d, s, s + WIDTH)
-            again = []
     if held:
         yield from settle(held)
 

@@ -554,6 +554,28 @@ def test_repeats_with_dealt_out_buckets(monkeypatch, blocks):
     assert in_process(texts) == removed(texts)
 
 
+def test_windows_dealt_out_move_as_hashes_and_leave_their_first_place():
+    """Rows repeated with their doc_id in other batches keep their windows, those of other documents go."""
+    import pandas as pd
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(200)).encode()
+    rows = [(d, zstandard.compress(text), [{"kind": 2, "key": 5, "at": 0, "span": 101}]) for d in (1, 1, 2)]
+    batches = [pa.RecordBatch.from_pandas(pd.DataFrame([r], columns=["doc", "blob", "wanted"])) for r in rows]
+    cut = pa.Table.from_batches(repeats._cut(iter(batches))).sort_by([(c, "ascending") for c in ("key", "doc", "at")])
+    gone = {1: [], 2: []}
+    for b in repeats._scan(iter(cut.to_batches(max_chunksize=7))):
+        for d, s, e in zip(*(c.to_pylist() for c in b.columns)):
+            gone[d].append((s, e))
+    assert gone[1] == [] and repeats.merged(gone[2]) == [(0, 200)]
+    assert cut.num_rows == 303 and cut["bytes"].null_count == 303
+    alike = cut.set_column(0, "key", pa.array([3] * 303)).sort_by([("doc", "ascending"), ("at", "ascending")])  # told apart by the other hash
+    other = [x for b in repeats._scan(iter(alike.to_batches(max_chunksize=7))) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(other) == [(2, p, p + 100) for p in range(101)]
+
+
 def test_maximal_repeats_lists_all_occurrences():
     a = b"k" * 5 + bytes(range(60, 120)) * 2
     array = repeats.SuffixArray([0, 0, 0], [b"1" + a + b"x", b"2" + a + b"y", b"3" + a + b"z"])
