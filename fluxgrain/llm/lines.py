@@ -9,9 +9,9 @@ What is left is verified on the full token sets, and lines that match an earlier
 
 Lines of equal token sets are one set with a first place before anything is joined, so a line
 that a third of all documents share is one row there.  Each set first meets the HEADS earliest
-sets of each token of its prefix alone; only sets that match none of them meet all earlier ones.
+sets of each of its first tokens alone; only sets that match none of them meet all earlier ones.
 So members of a family of thousands of similar lines go after a few meetings each, and no match
-is lost.
+is lost: the second time, all tokens of the prefix are used.
 
 Defined edge cases: lines end at \\n; a line without words is kept and matches nothing; null or
 empty text has no lines; order is (doc_id, line number); rows repeated with their doc_id have
@@ -48,7 +48,7 @@ def _clean(text: Column) -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def _read(docs: DataFrame) -> DataFrame:
     keyed = split_lines(docs).select("doc", "line", _ordered(frequency_table(docs)).alias("ordered"))
     n = F.size("ordered")
     # 32 bits of a token are enough to meet by: what meets is verified on the words themselves
-    prefix = F.transform(F.slice("ordered", F.lit(1), n - F.ceil(n * 4 / F.lit(5.0)).cast("int") + 1), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    prefix = F.transform(F.slice("ordered", F.lit(1), _first(n)), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
     words = [_parity(False).alias("parity"), F.when(n > _WIDE, _parity(True)).otherwise(F.lit(0)).alias("parity_b")]
     full = materialise(keyed.select(F.monotonically_increasing_id().alias("row"), "doc", "line", n.alias("n"), prefix.alias("prefix"), *words, *ids), "lines")
@@ -113,32 +113,57 @@ def _read(docs: DataFrame) -> DataFrame:
     return sets
 
 
-def _spread(sets: DataFrame) -> DataFrame:
+def _short(n: Column) -> Column:
+    """So many first tokens of n meet every set that is similar enough and of n tokens too."""
+    return n - F.ceil(n * 8 / F.lit(9.0)).cast("int") + 1
+
+
+def _first(n: Column) -> Column:
+    """So many first tokens of n meet every set that is similar enough."""
+    return n - F.ceil(n * 4 / F.lit(5.0)).cast("int") + 1
+
+
+def _spread(sets: DataFrame, prefix: Column) -> DataFrame:
     """A row for each token of each set's prefix."""
-    return sets.select("doc", "line", "n", "parity", "parity_b", *([F.col("open")] if "open" in sets.columns else []), F.posexplode("prefix").alias("i", "token"))
+    return sets.select("doc", "line", "n", "parity", "parity_b", *([F.col("open")] if "open" in sets.columns else []), F.posexplode(prefix).alias("i", "token"))
 
 
-def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Pairs of an earlier set of x and a later one of y that may be similar enough, by a token both
-    have; y's sets that are not open, if it says so, stay out.
+def _named(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """x and y with their names in front of their columns; the least symmetric difference of two
+    sets; and whether it and the places of the token leave them similar enough.
 
     For n tokens in all, a similarity of 4/5 is an overlap of 4n/9 and a symmetric difference of n/9.
     """
-    wanted = F.col("y_open") | (F.col("x_n") < 0) if "open" in y.columns else F.lit(True)  # of both sides, so that they share one shuffle
     x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)), y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
     c = F.col
     n = c("x_n") + c("y_n")
     a, b = c("x_parity").bitwiseXOR(c("y_parity")), c("x_parity_b").bitwiseXOR(c("y_parity_b"))
     apart = F.when(F.least("x_n", "y_n") > _WIDE, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a))
-    close = (
-        (c("x_token") == c("y_token"))
-        & wanted
-        & (apart * 9 <= n)
-        & ((c("x_doc") < c("y_doc")) | (c("x_doc") == c("y_doc")) & (c("x_line") < c("y_line")))
-        & ((c("x_n") - c("x_i")) * 9 >= n * 4)
-        & ((c("y_n") - c("y_i")) * 9 >= n * 4)
-    )
-    return x.join(y, close).select("x_doc", "x_line", "y_doc", "y_line", apart.alias("apart"))
+    places = ((c("x_n") - c("x_i")) * 9 >= n * 4) & ((c("y_n") - c("y_i")) * 9 >= n * 4)
+    return x, y, apart, places & (apart * 9 <= n)
+
+
+def _earlier() -> Column:
+    return (F.col("x_doc") < F.col("y_doc")) | (F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line"))
+
+
+def _meet_heads(sets: DataFrame) -> DataFrame:
+    """Pairs of one of the HEADS earliest sets with a token among the first and a later set."""
+    rows = _spread(sets, F.slice("prefix", F.lit(1), _short(F.col("n"))))
+    x, y, apart, close = _named(rows, rows)
+    rank = F.row_number().over(Window.partitionBy("x_token").orderBy("x_doc", "x_line"))
+    # a difference: Spark would find a limit for each token in a plain comparison, sort for it before
+    # the shuffle, and not share the shuffle with the other side
+    heads = x.withColumn("rank", rank).filter(F.col("rank") - F.lit(HEADS) <= 0).drop("rank")
+    return heads.join(y, (F.col("x_token") == F.col("y_token")) & _earlier() & close).select("x_doc", "x_line", "y_doc", "y_line", apart.alias("apart"))
+
+
+def _meet_all(sets: DataFrame) -> DataFrame:
+    """Pairs of an earlier set and a later open one that may be similar enough, by a token both have."""
+    rows = _spread(sets, F.col("prefix"))
+    x, y, apart, close = _named(rows, rows)
+    wanted = F.col("y_open") | (F.col("x_n") < 0)  # of both sides, so that they share one shuffle
+    return x.join(y, (F.col("x_token") == F.col("y_token")) & wanted & _earlier() & close).select("x_doc", "x_line", "y_doc", "y_line", apart.alias("apart"))
 
 
 def _settle(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,14 +202,11 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc, line, n) with their set's first place, and the places of the sets that match an
     earlier one."""
     lines = _read(docs)
-    sets = lines.filter("prefix is not null")
-    # the first of a list are found before its rows meet in a task
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
-    heads = _spread(sets).withColumn("rank", rank).filter(F.col("rank") <= HEADS).drop("rank")
-    gone = _settle(docs, _meet(heads, _spread(sets)))
+    sets = lines.filter("prefix is not null and n is not null")
+    gone = _settle(docs, _meet_heads(sets))
     out = gone.select(F.col("place").alias("gone"))
-    left = _spread(sets.join(out, F.col("place") == F.col("gone"), "left").withColumn("open", F.col("gone").isNull()))
-    gone = materialise(gone.union(_settle(docs, _meet(left, left))), "linesgone")
+    left = sets.join(out, F.col("place") == F.col("gone"), "left").withColumn("open", F.col("gone").isNull())
+    gone = materialise(gone.union(_settle(docs, _meet_all(left))), "linesgone")
     return lines.select("doc", "line", "n", "place"), gone
 
 

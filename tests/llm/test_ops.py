@@ -462,6 +462,26 @@ def test_lines_by_brute_force(spark, corpus):
 # 9
 
 
+def test_first_lines_of_tokens_meet_by_one_shuffle(spark):
+    """The earliest lines of a token are found in the shuffle by which all lines meet them; no line of
+    another size that only later tokens of the prefix show is lost."""
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(base[:32]), " ".join(base[:31]), " ".join(base[4:] + list("abcd")), " ".join(base + [f"v{i}" for i in range(10)])]
+    table = docs(spark, texts)
+    kept = [r["kept"] for r in sorted(lines.line_report(table).collect(), key=lambda r: r["doc_id"])]
+    sets = [set(t.split()) for t in texts]
+    assert kept == [all(9 * len(sets[i] & sets[j]) < 4 * (len(sets[i]) + len(sets[j])) for j in range(i)) for i in range(5)]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = lines._meet_heads(lines._read(table).filter("prefix is not null and n is not null"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held[0])
+        spark.conf.set("spark.sql.adaptive.enabled", held[1])
+    assert "ReusedExchange" in plan and "WindowGroupLimit" not in plan
+
+
 def test_mixing(spark, corpus):
     d = docs(spark, [*(corpus * 4)])
     out = mixing.mix(d, {"src0": 1.0, "src1": 5.0}).toPandas()
