@@ -27,12 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage durably.
 
     The copy outlives lost executors and is removed by release() or when the driver ends.
     """
-    return scratch.keep(df, label)
+    return scratch.keep(df, label, **options)
 
 
 def release(*tables: DataFrame) -> None:

@@ -1,8 +1,8 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its distinct lower-cased words.  Tokens are ordered by rarity: by the
-frequency class, over all documents, of the hash slot that a token falls into (a table of fixed
-size), then by hash.  Two lines whose Jaccard similarity reaches 4/5 must share a token among
+frequency class, over the lines of all documents, of the hash slot that a token falls into (a table
+of fixed size), then by hash.  Two lines whose Jaccard similarity reaches 4/5 must share a token among
 their first few (prefix filter); lengths, places in the prefix, and parity words of each set
 (which bound the symmetric difference from below) discard most meetings right in the join.
 What is left is verified on the full token sets, and lines that match an earlier line go.
@@ -33,8 +33,10 @@ SLOTS = 1 << 17
 HEADS = 4
 #: Documents with lines to verify: up to so many places are broadcast, more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
-#: Bits of a token's hash that follow its class in the order.
-_BITS = 56
+#: The bits of a token's hash that it is ordered and met by.
+_LOW = (1 << 31) - 1
+#: Hashes hardly repeat, so looking for those that do costs more than it saves.
+_PLAIN = {"parquet.enable.dictionary": "false"}
 #: Sets of more tokens have a second parity word.
 _WIDE = 48
 
@@ -61,10 +63,19 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _lines(docs).filter(F.col("words").rlike("[^ ]")).select("doc", "line", _hashes(F.col("words")).alias("tokens"))
 
 
-def frequency_table(docs: DataFrame) -> bytes:
+def _hashed(docs: DataFrame) -> DataFrame:
+    """row, doc, line, n, two hashes of the token set and 31 bits of each token's hash, of each line
+    that has words.  Kept in the shared folder: texts are split and hashed once, to be counted and
+    then ordered."""
+    keyed = split_lines(docs).select("doc", "line", F.sort_array("tokens").alias("tokens"))
+    low = F.transform("tokens", lambda t: t.bitwiseAND(F.lit(_LOW)).cast("int"))
+    ids = [F.xxhash64("tokens").alias("set_a"), F.xxhash64(F.lit("b"), F.col("tokens")).alias("set_b")]
+    return materialise(keyed.select(F.monotonically_increasing_id().alias("row"), "doc", "line", F.size("tokens").alias("n"), *ids, low.alias("low")), "linetokens", **_PLAIN)
+
+
+def frequency_table(hashed: DataFrame) -> bytes:
     """The frequency class of each slot, one byte each; SLOTS rows reach the driver."""
-    words = _lines(docs).select(F.explode(F.split("words", " ")).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count()
+    counts = hashed.select(F.explode("low").alias("token")).groupBy(_slot(F.col("token")).alias("slot")).count()
     table = bytearray(b"\x01" * SLOTS)
     for r in counts.collect():
         table[r["slot"]] = min(127, 1 + int(4 * math.log2(r["count"] + 1)))
@@ -72,21 +83,22 @@ def frequency_table(docs: DataFrame) -> bytes:
 
 
 def _slot(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    return token.bitwiseAND(F.lit(SLOTS - 1))
 
 
 def _ordered(table: bytes) -> Column:
     """Tokens as longs in order of rarity: class above, hash below."""
-    rank = lambda t: F.shiftleft(F.ascii(F.substring(F.lit(table), _slot(t) + 1, F.lit(1)).cast("string")).cast("long"), _BITS)
-    return F.sort_array(F.transform("tokens", lambda t: rank(t).bitwiseOR(t.bitwiseAND(F.lit((1 << _BITS) - 1)))))
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    rank = lambda t: F.shiftleft(F.coalesce(classes[_slot(t)], F.lit(1).cast("long")), 32)
+    return F.sort_array(F.transform("low", lambda t: rank(t).bitwiseOR(t.cast("long"))))
 
 
 def _parity(half: bool) -> Column:
     """Oddly filled slots of 64, of all tokens or of the half whose bit 6 is set: the differing
     bits of two sets' words are at most the tokens that only one of them has."""
     one = F.lit(1).cast("long")
-    mine = (lambda t: F.shiftright(t, 6).bitwiseAND(one)) if half else (lambda t: one)
-    return F.aggregate("ordered", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", mine(t), t.bitwiseAND(F.lit(63)).cast("int"))))
+    mine = (lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)).cast("long")) if half else (lambda t: one)
+    return F.aggregate("low", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", mine(t), t.bitwiseAND(F.lit(63)))))
 
 
 def _place(doc: str, line: str) -> Column:
@@ -97,18 +109,19 @@ def _place(doc: str, line: str) -> Column:
 def _read(docs: DataFrame) -> DataFrame:
     """doc, line, n, place (the first one of its token set) of each line with words; and prefix,
     parity and parity_b of one line a set, null for others.  Kept in the shared folder."""
-    keyed = split_lines(docs).select("doc", "line", _ordered(frequency_table(docs)).alias("ordered"))
-    n = F.size("ordered")
-    # 32 bits of a token are enough to meet by: what meets is verified on the words themselves
-    prefix = F.transform(F.slice("ordered", F.lit(1), _first(n)), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    ids = [F.xxhash64("ordered").alias("set_a"), F.xxhash64(F.lit("b"), F.col("ordered")).alias("set_b")]
+    hashed = _hashed(docs)
+    keyed = hashed.withColumn("ordered", _ordered(frequency_table(hashed)))
+    n = F.col("n")
+    # 31 bits of a token are enough to meet by: what meets is verified on the words themselves
+    prefix = F.transform(F.slice("ordered", F.lit(1), _first(n)), lambda t: t.bitwiseAND(F.lit(_LOW)).cast("int"))
     words = [_parity(False).alias("parity"), F.when(n > _WIDE, _parity(True)).otherwise(F.lit(0)).alias("parity_b")]
-    full = materialise(keyed.select(F.monotonically_increasing_id().alias("row"), "doc", "line", n.alias("n"), prefix.alias("prefix"), *words, *ids), "lines")
+    full = materialise(keyed.select("row", "doc", "line", "n", prefix.alias("prefix"), *words, "set_a", "set_b"), "lines", **_PLAIN)
+    release(hashed)
     place = _place("doc", "line")
     first = full.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.min(place).alias("place"), F.min_by("row", place).alias("first_row"))
     of = full.join(first, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")))
     lead = [F.when(F.col("row") == F.col("first_row"), F.col(c)).alias(c) for c in ("prefix", "parity", "parity_b")]
-    sets = materialise(of.select("doc", "line", "n", "place", *lead), "linesets")
+    sets = materialise(of.select("doc", "line", "n", "place", *lead), "linesets", **_PLAIN)
     release(full)
     return sets
 
@@ -123,23 +136,37 @@ def _first(n: Column) -> Column:
     return n - F.ceil(n * 4 / F.lit(5.0)).cast("int") + 1
 
 
-def _spread(sets: DataFrame, prefix: Column) -> DataFrame:
-    """A row for each token of each set's prefix."""
-    return sets.select("doc", "line", "n", "parity", "parity_b", *([F.col("open")] if "open" in sets.columns else []), F.posexplode(prefix).alias("i", "token"))
+def _spread(sets: DataFrame, prefix: Column, still: Column) -> DataFrame:
+    """A row for each token of each set's prefix.  shape holds the set's size, the token's place and
+    whether the set is open: rows are narrow, and all of their columns are wanted of both sides of a
+    join, so that the sides share one shuffle."""
+    rows = sets.select("doc", "line", "parity", "parity_b", "n", still.cast("long").alias("open"), F.posexplode(prefix).alias("i", "token"))
+    shape = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open"))
+    # never null by its form: Spark would test one side alone before the shuffle
+    return rows.select("doc", "line", "parity", "parity_b", F.coalesce(shape, F.lit(0)).alias("shape"), "token")
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(f"{side}_shape", 32)
+
+
+def _behind(side: str) -> Column:
+    """Tokens from the met one on."""
+    return _size(side) - F.shiftright(F.col(f"{side}_shape").bitwiseAND(F.lit((1 << 32) - 1)), 1)
 
 
-def _named(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
-    """x and y with their names in front of their columns; the least symmetric difference of two
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Rows twice, with x and y in front of their columns; the least symmetric difference of two
     sets; and whether it and the places of the token leave them similar enough.
 
     For n tokens in all, a similarity of 4/5 is an overlap of 4n/9 and a symmetric difference of n/9.
     """
-    x, y = x.select(*(F.col(c).alias(f"x_{c}") for c in x.columns)), y.select(*(F.col(c).alias(f"y_{c}") for c in y.columns))
+    x, y = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side in "xy")
     c = F.col
-    n = c("x_n") + c("y_n")
+    n = _size("x") + _size("y")
     a, b = c("x_parity").bitwiseXOR(c("y_parity")), c("x_parity_b").bitwiseXOR(c("y_parity_b"))
-    apart = F.when(F.least("x_n", "y_n") > _WIDE, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a))
-    places = ((c("x_n") - c("x_i")) * 9 >= n * 4) & ((c("y_n") - c("y_i")) * 9 >= n * 4)
+    apart = F.when(F.least(_size("x"), _size("y")) > _WIDE, F.bit_count(a.bitwiseXOR(b)) + F.bit_count(b)).otherwise(F.bit_count(a))
+    places = (_behind("x") * 9 >= n * 4) & (_behind("y") * 9 >= n * 4)
     return x, y, apart, places & (apart * 9 <= n)
 
 
@@ -149,8 +176,7 @@ def _earlier() -> Column:
 
 def _meet_heads(sets: DataFrame) -> DataFrame:
     """Pairs of one of the HEADS earliest sets with a token among the first and a later set."""
-    rows = _spread(sets, F.slice("prefix", F.lit(1), _short(F.col("n"))))
-    x, y, apart, close = _named(rows, rows)
+    x, y, apart, close = _named(_spread(sets, F.slice("prefix", F.lit(1), _short(F.col("n"))), F.lit(True)))
     rank = F.row_number().over(Window.partitionBy("x_token").orderBy("x_doc", "x_line"))
     # a difference: Spark would find a limit for each token in a plain comparison, sort for it before
     # the shuffle, and not share the shuffle with the other side
@@ -160,9 +186,9 @@ def _meet_heads(sets: DataFrame) -> DataFrame:
 
 def _meet_all(sets: DataFrame) -> DataFrame:
     """Pairs of an earlier set and a later open one that may be similar enough, by a token both have."""
-    rows = _spread(sets, F.col("prefix"))
-    x, y, apart, close = _named(rows, rows)
-    wanted = F.col("y_open") | (F.col("x_n") < 0)  # of both sides, so that they share one shuffle
+    x, y, apart, close = _named(_spread(sets, F.col("prefix"), F.col("open")))
+    # of both sides, if only in form: Spark would filter one side alone before the shuffle
+    wanted = F.col("y_shape").bitwiseAND(F.lit(1)) > F.shiftrightunsigned("x_shape", 63)
     return x.join(y, (F.col("x_token") == F.col("y_token")) & wanted & _earlier() & close).select("x_doc", "x_line", "y_doc", "y_line", apart.alias("apart"))
 
 

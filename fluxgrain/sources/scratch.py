@@ -32,12 +32,12 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df, written once as Parquet and read back: it outlives lost executors and is computed once
-    however often it is used.  Removed when the driver ends."""
+    however often it is used.  Removed when the driver ends.  options are the writer's."""
     spark = df.sparkSession
     path = f"{folder(spark)}/fluxgrain-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     atexit.register(remove, spark, path)
     kept = spark.read.schema(df.schema).parquet(path)
     _PATHS[kept] = path

@@ -482,6 +482,25 @@ def test_first_lines_of_tokens_meet_by_one_shuffle(spark):
     assert "ReusedExchange" in plan and "WindowGroupLimit" not in plan
 
 
+def test_all_lines_meet_by_one_shuffle(spark):
+    """Tokens of earlier lines and of later open ones come from the same shuffle, which is written
+    once; and lines that are not open meet as earlier ones only."""
+    base = [f"w{i}" for i in range(60)]
+    table = docs(spark, [" ".join(base[k:] + [f"v{k}"]) for k in range(4)])
+    sets = lines._read(table).filter("prefix is not null and n is not null").withColumn("open", F.col("doc") != 2)
+    met = lines._meet_all(sets)
+    assert {(r["x_doc"], r["y_doc"]) for r in met.collect()} == {(0, 1), (0, 3), (1, 3), (2, 3)}
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = lines._meet_all(sets)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held[0])
+        spark.conf.set("spark.sql.adaptive.enabled", held[1])
+    assert "ReusedExchange" in plan
+
+
 def test_mixing(spark, corpus):
     d = docs(spark, [*(corpus * 4)])
     out = mixing.mix(d, {"src0": 1.0, "src1": 5.0}).toPandas()
