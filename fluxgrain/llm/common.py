@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +16,9 @@ from ..sources import scratch
 #: then holds a few megabytes of text at a time whatever the size of the table.
 BATCH_ROWS = 512
 
+#: What operators keep in this Python worker from task to task: how to drop it, by operator.
+_KEPT: dict[str, Callable[[], object]] = {}
+
 _U64 = np.uint64
 
 
@@ -40,6 +47,24 @@ def release(*tables: DataFrame) -> None:
     scratch.release(*tables)
 
 
+def begin(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """A task of an operator begins in this Python worker: what others have kept here goes, since
+    one stage after the other runs in the same workers and their memory would add up.
+
+    forget drops what the operator itself keeps for its next tasks.
+    """
+    others = [k for k in _KEPT if k != operator]
+    for k in others:
+        _KEPT.pop(k)()
+    if forget:
+        _KEPT[operator] = forget
+    if others:  # freed memory goes back to the system, not only to the allocators
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, prepare, release, seeds, utf8_values
+from .common import begin, materialise, mix64, prepare, release, seeds, utf8_values
 from .graph import connected_components
 
 #: Chance at most that two documents right at the threshold share no band; signature values.
@@ -122,6 +122,7 @@ def signature_table(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     def run(batches):
         from fluxgrain.llm import minhash  # the worker's own module keeps its words between tasks
 
+        begin("minhash", minhash.WORDS.clear)
         for batch in batches:
             sizes, digests, keys, words, group, held = [], [], [], [], [], 0
 
@@ -174,6 +175,7 @@ def _verify(pairs: DataFrame, k: int, share: int) -> DataFrame:
     def run(batches):
         from fluxgrain.llm import minhash
 
+        begin("minhash", minhash.WORDS.clear)
         unzip = zstandard.ZstdDecompressor().decompress
         kept = None, None
         for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import begin, materialise, prepare
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Ways to plan: pieces above this share of the capacity are large; the number of their groups; the
@@ -44,8 +44,9 @@ SETTINGS = ((1 / 3, 128, 1 / 500), (1 / 5, 128, 1 / 200), (1 / 2, 64, 1.0))
 NEAR = 1 / 1000
 #: Buckets of doc_id hashes by which ranks are counted.
 RANK_BUCKETS = 64
-#: Pieces of words whose ids a Python worker keeps at a time (it starts afresh beyond).
-KEPT = 1_200_000
+#: A Python worker keeps the ids of word pieces in two halves of about this many: when the newer
+#: one is full it becomes the older, and what the older held and no text has asked for since goes.
+KEPT = 350_000
 #: Texts of these characters alone are split by us just as the tokenizer would: letters that
 #: are their own NFC form and lower one by one, ASCII digits, marks but the apostrophe, and space.
 _OTHER = re.compile("[^A-Za-zÀ-ÖØ-öø-ÿ0-9\t\n\r -&(-~]|<\\|")
@@ -65,6 +66,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         """The ids of pieces, many to a call."""
@@ -78,9 +80,9 @@ class Encoder:
             self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
+        if len(self.known) > KEPT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         out: list = [None] * len(texts)
         waiting: list[tuple[int, list[str]]] = []
         fresh: set[str] = set()
@@ -95,7 +97,8 @@ class Encoder:
                 waiting.append((k, found))
             else:
                 out[k] = b"".join(ids)
-        self._learn(list(fresh))
+        known.update([(w, older[w]) for w in fresh if w in older])
+        self._learn([w for w in fresh if w not in known])
         for k, found in waiting:
             out[k] = b"".join(map(known.__getitem__, found))
         return out
@@ -128,6 +131,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     def run(batches):
         from fluxgrain.llm import packing  # the worker's own module, so that encoders are kept between tasks
 
+        begin("packing", packing._ENCODERS.clear)
         enc, end, width = packing.encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, utf8_values
+from .common import begin, prepare, utf8_values
 
 #: Labelled documents used of each class at most (chosen by hash); rounds of training.
 SAMPLE, ROUNDS = 1500, 40
@@ -308,6 +308,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     model = train(docs, labels, sample)
 
     def run(batches):
+        begin("toxicity")
         tag = _tagger(model)
         for batch in batches:
             s, spans = tag(batch.column(1))
@@ -325,6 +326,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
     at = docs.columns.index("text")
 
     def run(batches):
+        begin("toxicity")
         tag = _tagger(model)
         for batch in batches:
             yield batch.filter(pa.array(tag(batch.column(at))[0] < threshold))

@@ -418,6 +418,43 @@ def test_cells_hold_the_runs_of_their_ranks():
             assert [r[3:] for r in rows if r[:2] == (length, b) and r[3] <= k < r[4]] == [want[length, k]]
 
 
+def test_workers_keep_one_operators_words(spark, monkeypatch):
+    """A task drops what tasks of other operators have kept in its worker (the pipeline's add up)."""
+    docs = spark.createDataFrame([(1, "a fine text of some words"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    ran = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: (ran.append(f), self.sparkSession.createDataFrame([], schema))[1])
+    minhash.signature_table(docs, 3, 0.85), packing.pieces(docs), toxicity.keep_clean(docs, labels), toxicity.score(docs, labels)
+    batches = docs.toArrow().to_batches()
+    run = lambda f: [b.to_pydict() for b in f(iter(batches))]
+    sign, cut, *tag = ran
+    signed, pieces = run(sign), None
+    for f in tag:
+        assert minhash.WORDS and not packing._ENCODERS
+        again = run(cut)
+        assert packing._ENCODERS and not minhash.WORDS and pieces in (None, again)
+        pieces = again
+        assert run(cut) == pieces and packing._ENCODERS
+        run(f)
+        assert not packing._ENCODERS and not minhash.WORDS
+        assert run(sign) == signed
+
+
+def test_encoder_keeps_words_in_use(monkeypatch):
+    """Words that texts go on asking for are learnt once, however many others come and go."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KEPT", 50)
+    enc, learnt, rng = packing.Encoder(public_tokenizers.path(packing.TOKENIZER)), [], random.Random(5)
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    for _ in range(60):
+        texts = ["The usual, " + " ".join("".join(rng.choices("abcdeé", k=7)) for _ in range(5)) for _ in range(2)]
+        assert enc.encode(texts) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(enc.known) + len(enc.older) <= 2 * (50 + 13)
+    assert learnt.count("usual") == 1 and len(learnt) > 500
+
+
 def test_pack(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
