@@ -62,7 +62,7 @@ class Emissions(dict):
         return v
 
 
-def marginals(evidence: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+def marginals(evidence: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """P(toxic) of each token, and odds messages for pairwise terms.
 
     evidence: log odds of each token, documents one after the other; starts: true at their first
@@ -70,7 +70,7 @@ def marginals(evidence: np.ndarray, starts: np.ndarray, trans: np.ndarray, first
     """
     n = len(evidence)
     if not n:
-        return np.empty(0), np.empty((2, 0))
+        return np.empty(0), (np.empty(0), np.empty(0))
     t = np.exp(trans)
     e = np.exp(np.clip(evidence, -30, 30))
     ahead = _messages(e, starts, t, math.exp(first), True)
@@ -78,7 +78,7 @@ def marginals(evidence: np.ndarray, starts: np.ndarray, trans: np.ndarray, first
     # r of the reversed chain holds a token's own evidence too; the message to it doesn't
     behind = _messages(e[::-1], back_starts, t.T, 1.0, False)[::-1]
     odds = ahead * behind
-    return odds / (1 + odds), np.stack([ahead, behind])
+    return odds / (1 + odds), (ahead, behind)
 
 
 def _messages(e: np.ndarray, starts: np.ndarray, t: np.ndarray, first: float, forward: bool) -> np.ndarray:
@@ -212,9 +212,14 @@ class Model:
             g[n_feat + 1] = d[starts].sum()
             a, b = ahead[pair_from], behind[pair_from + 1] * np.exp(np.clip(ev[pair_from + 1], -30, 30))
             t = np.exp(trans)
-            joint = np.stack([t[0, 0] * np.ones_like(a), t[0, 1] * b, t[1, 0] * a, t[1, 1] * a * b])
-            joint /= joint.sum(0)
-            g[n_feat + 2 :] = gold.reshape(-1) - joint.sum(1) - 0.01 * theta[n_feat + 2 :]
+            # one state pair after the other, and nothing kept into the next round: the driver's memory is small
+            pairs = [lambda: np.full_like(a, t[0, 0]), lambda: t[0, 1] * b, lambda: t[1, 0] * a, lambda: t[1, 1] * a * b]
+            z = pairs[0]()
+            for pair in pairs[1:]:
+                z += pair()
+            joint = np.array([(pair() / z).sum() for pair in pairs])
+            g[n_feat + 2 :] = gold.reshape(-1) - joint - 0.01 * theta[n_feat + 2 :]
+            del ev, p, ahead, behind, d, a, b, z
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights = {f: float(x) for f, x in zip(names, theta) if abs(x) > 1e-2}

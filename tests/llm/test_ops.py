@@ -142,6 +142,19 @@ def test_marginals_by_enumeration():
     np.testing.assert_allclose(toxicity.marginals(ev, starts, trans, first)[0], p / total)
 
 
+def test_toxicity_training_memory():
+    """Rounds of training hold few arrays of the tokens' length at a time: the driver is small."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(3), 200_000
+    flat, starts, y = rng.integers(0, 50, n), np.arange(n) % 400 == 0, rng.random(n) < 0.1
+    tracemalloc.start()
+    toxicity.Model()._train(flat, starts, y, np.arange(50), np.arange(50), 50, [f"={k}" for k in range(50)], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 13 * 8 * n, peak / 8 / n
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
